@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to Python; texts may be long, so batches are small.
 BATCH_ROWS = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

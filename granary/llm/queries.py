@@ -1,6 +1,9 @@
 """The queries opN_<name> over the driver's tables."""
 
+from granary.llm.decontaminate import SQL as DECONTAMINATE_SQL
+from granary.llm.decontaminate import op8_decontaminate
+from granary.llm.near_dup import op10_near_dup
 from granary.llm.token_output import op1_token_ids
 
-QUERIES = {"op1_token_ids": op1_token_ids}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_token_ids": op1_token_ids, "op8_decontaminate": op8_decontaminate, "op10_near_dup": op10_near_dup}
+ORACLE_SQL = {"op8_decontaminate": DECONTAMINATE_SQL}

@@ -2,8 +2,16 @@
 
 from granary.llm.decontaminate import SQL as DECONTAMINATE_SQL
 from granary.llm.decontaminate import op8_decontaminate
+from granary.llm.language import op5_language
 from granary.llm.near_dup import op10_near_dup
+from granary.llm.quality import op4_quality
 from granary.llm.token_output import op1_token_ids
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op8_decontaminate": op8_decontaminate, "op10_near_dup": op10_near_dup}
+QUERIES = {
+    "op1_token_ids": op1_token_ids,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op8_decontaminate": op8_decontaminate,
+    "op10_near_dup": op10_near_dup,
+}
 ORACLE_SQL = {"op8_decontaminate": DECONTAMINATE_SQL}

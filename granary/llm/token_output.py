@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from granary.llm.common import small_batches, table, work_dir
 from granary.llm.seekable import Reader, Writer
 
-#: Remembered words of a worker; past this many the memory starts anew.
-MEMO_WORDS = 300_000
+#: Remembered words of a worker, in two generations: a full young one becomes the old one, whose words come back when used.
+MEMO_WORDS = 400_000
+#: Unknown words that go to the library as one text.
+JOINED_WORDS = 4000
 #: A space beside other white space, or at an end: there a text isn't cut into words.
 UNSAFE = re.compile(r"\s \s?| \s|^ | $")
 
@@ -34,6 +37,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], "<u4").tobytes()
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words, each with a space before it, encoded many at a time and parted by their bytes."""
+        for at in range(0, len(words), JOINED_WORDS):
+            some = words[at : at + JOINED_WORDS]
+            ids = self.ids([" " + " ".join(some)])[0]
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            cuts = [0, *(4 * np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")]), ends, "left") + 4).tolist()]
+            self.memo.update(zip(some, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -43,21 +59,28 @@ class Encoder:
         whole = [k for k, t in enumerate(texts) if UNSAFE.search(t)]
         for k, x in zip(whole, self.ids([texts[k] for k in whole])):
             out[k] = x + self.end
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.old, self.memo = self.memo, {}
         rest = set(range(len(texts))) - set(whole)
         words = {k: texts[k].split(" ") for k in sorted(rest)}
         new = {w for ws in words.values() for w in ws[1:]}
         new.difference_update(self.memo)
         if new:
-            fresh = list(new)
-            self.memo.update(zip(fresh, self.ids([f" {w}" for w in fresh])))
+            known = new & self.old.keys()
+            self.memo.update((w, self.old[w]) for w in known)
+            self.learn(list(new - known))
         first = self.ids([ws[0] for ws in words.values()])
         for (k, ws), x in zip(words.items(), first):
             out[k] = b"".join([x, *map(self.memo.__getitem__, ws[1:]), self.end])
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """A worker's encoder, kept with what it remembers from task to task."""
+    return Encoder(path, end_id)
+
+
 def shard_uri(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:06d}.ids.zst"
 
@@ -80,7 +103,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
             if not batch.num_rows:
                 continue
             if writer is None:
-                encode, writer = Encoder(tokenizer_path, end_id), Writer(shard_uri(folder, shard), level)
+                encode, writer = encoder(tokenizer_path, end_id), Writer(shard_uri(folder, shard), level)
             ids.append(batch.column(0).to_numpy())
             for content in encode(batch.column(1).to_pylist()):
                 total += len(content) // 4

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.align import similarity_bound, within
+from granary.llm.blocks import spread
 from granary.llm.common import apart, small_batches, staged, table
 from granary.llm.graph import components
 from granary.llm.words import U, mix, split_words, weights, windows
@@ -192,13 +193,8 @@ def candidates(members: DataFrame, sketches: DataFrame, comp: DataFrame | None =
     rows = members.join(sketches, "doc_id")
     if comp is not None:
         rows = rows.join(comp, "doc_id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, F.col("block")) * F.col("blocks") + F.greatest(j, F.col("block")))
-    rows = rows.withColumn("cell", F.explode(cells)).withColumn("crossed", F.floor(F.col("cell") / F.col("blocks")) != F.col("cell") % F.col("blocks"))
-    keep = ["bucket", "cell", "block", "crossed", "doc_id", "n_words", "bins", *(["comp"] if comp is not None else [])]
-    spread = rows.select(*keep).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "doc_id")
-    return spread.mapInArrow(_compare(comp is not None), "a long, b long").distinct()
+    dealt = spread(rows, BLOCK, ["doc_id", "n_words", "bins", *(["comp"] if comp is not None else [])], "doc_id")
+    return dealt.mapInArrow(_compare(comp is not None), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:

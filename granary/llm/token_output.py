@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,18 +16,17 @@ from granary.llm.common import small_batches, table, work_dir
 from granary.llm.seekable import Reader, Writer
 
 #: Remembered words of a worker, in two generations: a full young one becomes the old one, whose words come back when used.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 #: Unknown words that go to the library as one text.
 JOINED_WORDS = 4000
-#: A space beside other white space, or at an end: there a text isn't cut into words.
-UNSAFE = re.compile(r"\s \s?| \s|^ | $")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file of the tokenizers library, remembering those of single words.
+    """Ids of texts by a byte-level BPE file of the tokenizers library, remembering those of words.
 
-    A byte-level pre-tokenizer always begins a new piece at a single space between two non-space characters, so such a
-    text may be cut there: the words' ids, joined, are the text's ids. Other texts go to the library whole.
+    The pre-tokenizer always begins a new piece at a single space between two non-space characters, so a text may be
+    cut there: the ids of its words, each with the space before it, are the text's ids. Texts with other white space
+    beside a space, or a space at an end, go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -42,37 +40,34 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
-    def learn(self, words: list[str]) -> None:
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
         """Remember the ids of words, each with a space before it, encoded many at a time and parted by their bytes."""
-        for at in range(0, len(words), JOINED_WORDS):
-            some = words[at : at + JOINED_WORDS]
+        known = words & self.old.keys()
+        self.memo.update((w, self.old[w]) for w in known)
+        fresh = list(words - known)
+        for at in range(0, len(fresh), JOINED_WORDS):
+            some = fresh[at : at + JOINED_WORDS]
             ids = self.ids([" " + " ".join(some)])[0]
             ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            cuts = [0, *(4 * np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")]), ends, "left") + 4).tolist()]
-            self.memo.update(zip(some, map(ids.__getitem__, map(slice, cuts, cuts[1:]))))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")]), ends) + 4).tolist()
+            self.memo.update(zip(some, [ids[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole = [k for k, t in enumerate(texts) if UNSAFE.search(t)]
-        for k, x in zip(whole, self.ids([texts[k] for k in whole])):
-            out[k] = x + self.end
         if len(self.memo) > MEMO_WORDS // 2:
             self.old, self.memo = self.memo, {}
-        rest = set(range(len(texts))) - set(whole)
-        words = {k: texts[k].split(" ") for k in sorted(rest)}
-        new = {w for ws in words.values() for w in ws[1:]}
+        split = [t.split(" ") for t in texts]
+        new: set[str] = set()
+        for words in split:
+            new.update(words)
         new.difference_update(self.memo)
-        if new:
-            known = new & self.old.keys()
-            self.memo.update((w, self.old[w]) for w in known)
-            self.learn(list(new - known))
-        first = self.ids([ws[0] for ws in words.values()])
-        for (k, ws), x in zip(words.items(), first):
-            out[k] = b"".join([x, *map(self.memo.__getitem__, ws[1:]), self.end])
-        return out
+        unsafe = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        self.learn(new - unsafe)
+        whole = {k for k, words in enumerate(split) if not unsafe.isdisjoint(words)} if unsafe else set()
+        first = self.ids([t if k in whole else words[0] for k, (t, words) in enumerate(zip(texts, split))])
+        return [b"".join([x, self.end] if k in whole else [x, *map(self.memo.__getitem__, words[1:]), self.end]) for k, (x, words) in enumerate(zip(first, split))]
 
 
 @lru_cache(maxsize=1)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +51,9 @@ def apart(key: str | Column) -> Column:
     return F.concat(F.col(key) if isinstance(key, str) else key, F.substring(F.lit("x"), 2, 1))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def apart_long(key: str) -> Column:
+    """The same for a key of whole numbers."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
 
 
 def crc_mod(column: str, n: int) -> Column:

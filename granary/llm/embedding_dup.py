@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.blocks import spread
-from granary.llm.common import apart, staged, table
+from granary.llm.common import apart, apart_long, staged, table
 from granary.llm.graph import components
 
 COSINE = 0.98
@@ -206,8 +206,8 @@ def link(embeddings: DataFrame) -> DataFrame:
     own = found.withColumn("k", F.col("digest")).join(least, "k").filter("vec_id = rep")
     reps = staged(own.dropDuplicates(["k"]).select("vec_id", "kind", "digest", "vector", "code", "factor", "keys", "copies"), "vectors")
     placed = reps.select("vec_id", "digest", F.posexplode("keys").alias("j", "key"), "kind").select("vec_id", "digest", "j", F.xxhash64("kind", "j", "key").alias("bucket"))
-    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart(F.col("bucket").cast("string")).alias("k"), "n")
-    shared = placed.withColumn("k", F.col("bucket").cast("string")).join(counts, "k").drop("k")
+    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
+    shared = placed.withColumn("k", F.col("bucket")).join(counts, "k").drop("k")
     full = shared.join(reps.select("digest", "vector", "code", "factor", "keys", "copies"), "digest")
     out = staged(spread(full, BLOCK, ["vec_id", "j", "vector", "code", "factor", "keys", "copies"], "vec_id").mapInArrow(_link(), "u long, v long, links long"), "links")
     roots = components(out.filter("v is not null").select("u", "v")).withColumnRenamed("node", "rep")

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import apart, staged
-
-
-def _text(column: str):
-    return F.col(column).cast("string")
+from granary.llm.common import apart_long, staged
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Each edge (u, v) with the least of u and its neighbours v. The join deals a hub's edges over several tasks."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(apart(_text("u")).alias("k"), F.least("u", "m").alias("m"))
-    return edges.withColumn("k", _text("u")).join(least, "k")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(apart_long("u").alias("k"), F.least("u", "m").alias("m"))
+    return edges.withColumn("k", F.col("u")).join(least, "k")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.align import similarity_bound, within
 from granary.llm.blocks import spread
-from granary.llm.common import apart, small_batches, staged, table
+from granary.llm.common import apart, apart_long, small_batches, staged, table
 from granary.llm.graph import components
 from granary.llm.words import U, mix, split_words, weights, windows
 
@@ -24,6 +24,9 @@ MINIMA = 2
 BINS = 128
 #: 1 - edits / words of the longer document.
 SIMILARITY = 0.8
+#: Samples whose buckets are searched first, and the pairs that two components then get from a block before all do.
+FIRST_SAMPLES = 8
+FEW = 2
 #: Rows of a bucket that are compared in one block; larger buckets are compared block against block.
 BLOCK = 2048
 
@@ -114,7 +117,8 @@ def likely(bins_a: np.ndarray, bins_b: np.ndarray) -> np.ndarray:
 
 
 def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.ndarray, words: np.ndarray, bins: np.ndarray, comp: np.ndarray | None):
-    """Pairs of rows with one key, sorted by key and id; with comp all pairs across components, else a row's first."""
+    """Likely pairs of rows with one key, sorted by key and id, as row numbers (a, b): with comp all pairs of different
+    components, else of each row the pair with the first row that it is likely to equal."""
     n = len(key)
     ends = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [n]])
     end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
@@ -137,16 +141,32 @@ def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.
             if comp is None:
                 first[b] = a
             elif len(a):
-                pairs.append(np.stack([ids[a], ids[b]]))
+                pairs.append(np.stack([a, b]))
         shift += 1
     if comp is None:
         b = np.flatnonzero(first >= 0)
-        return ids[first[b]], ids[b]
-    held = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return held[0], held[1]
-
-
-def _compare(across: bool):
+        return first[b], b
+    return np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+
+
+def _few(a: np.ndarray, b: np.ndarray, key: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are among the first FEW of their two components and key, and whether those have more."""
+    low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+    order = np.lexsort((b, a, high, low, key[a]))
+    fresh = np.ones(len(a), bool)
+    for x in (key[a], low, high):
+        y = x[order]
+        fresh[1:] &= y[1:] == y[:-1]
+    fresh[1:], fresh[0] = ~fresh[1:], True
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.concatenate([start, [len(a)]]))
+    place = np.arange(len(a)) - np.repeat(start, size)
+    keep, more = np.empty(len(a), bool), np.empty(len(a), bool)
+    keep[order], more[order] = place < FEW, np.repeat(size > FEW, size)
+    return keep, more
+
+
+def _compare(across: bool, few: bool):
     """Rows come sorted by bucket, cell and id; whole groups of a partition are compared together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +183,18 @@ def _compare(across: bool):
                 return None
             key = np.zeros(stop, np.int64)
             key[change[change < stop]] = 1
-            raw = t["bins"].combine_chunks()
-            bins = np.frombuffer(b"".join(raw.slice(0, stop).to_pylist()), np.uint8).reshape(stop, BINS)
+            key = np.cumsum(key)
+            bins = np.frombuffer(b"".join(t["bins"].combine_chunks().slice(0, stop).to_pylist()), np.uint8).reshape(stop, BINS)
             get = lambda c: t[c].to_numpy()[:stop]
-            a, b = _block_pairs(np.cumsum(key), get("block"), get("crossed"), get("doc_id"), get("n_words"), bins, get("comp") if across else None)
+            ids, comp = get("doc_id"), get("comp") if across else None
+            a, b = _block_pairs(key, get("block"), get("crossed"), ids, get("n_words"), bins, comp)
+            more = np.zeros(len(a), bool)
+            if few and len(a):
+                keep, more = _few(a, b, key, comp)
+                a, b, more = a[keep], b[keep], more[keep]
             held = t.slice(stop).to_batches()
             rows = len(bucket) - stop
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(more)], ["a", "b", "more"])
 
         for batch in batches:
             held.append(batch)
@@ -182,22 +207,23 @@ def _compare(across: bool):
     return run
 
 
-def candidates(members: DataFrame, sketches: DataFrame, comp: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of documents of one bucket with likely similarity.
+def candidates(members: DataFrame, sketches: DataFrame, comp: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """Pairs (a, b, more) of documents of one bucket with likely similarity.
 
-    members: (bucket, doc_id), buckets of one document left out. Without comp: for each document of a block its first
-    likely partner, so that a group's documents are linked by as many pairs as it has documents. With comp (doc_id,
-    comp): all likely pairs of different components. Buckets over BLOCK rows are split in blocks by a hash of the id,
-    and each pair of blocks is a group of its own, whichever task it falls to.
+    members: (bucket, doc_id, n), buckets of one document left out. Without comp: for each document of a block its
+    first likely partner, so that a group's documents are linked by as many pairs as it has documents. With comp
+    (doc_id, comp): all likely pairs of different components, or with few the first FEW that two components have in a
+    block, `more` where they have others. Buckets over BLOCK rows are split in blocks by a hash of the id, and each
+    pair of blocks is a group of its own, whichever task it falls to.
     """
     rows = members.join(sketches, "doc_id")
     if comp is not None:
         rows = rows.join(comp, "doc_id")
     dealt = spread(rows, BLOCK, ["doc_id", "n_words", "bins", *(["comp"] if comp is not None else [])], "doc_id")
-    return dealt.mapInArrow(_compare(comp is not None), "a long, b long").distinct()
+    return dealt.mapInArrow(_compare(comp is not None, few), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words, aligned within the band, are SIMILARITY alike or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +238,6 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(within(x, y, similarity_bound(len(x), len(y), SIMILARITY)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "texts")
     half = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = half.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -236,20 +260,28 @@ def classes(docs: DataFrame) -> DataFrame:
     least = worded.groupBy("digest").agg(F.min("doc_id").alias("rep")).select(apart("digest").alias("d"), "rep")
     member = staged(worded.select("doc_id", F.col("digest").alias("d")).join(least, "d").select("doc_id", "rep"), "copies")
     reps = worded.join(member.filter("rep = doc_id").select("doc_id"), "doc_id", "left_semi")
-    buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "s")).select(F.xxhash64("j", "s").alias("bucket"), "doc_id"), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart(F.col("bucket").cast("string")).alias("k"), "n")
-    members = staged(buckets.withColumn("k", F.col("bucket").cast("string")).join(shared, "k").select("bucket", "doc_id", "n"), "members")
+    buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "s")).select(F.xxhash64("j", "s").alias("bucket"), "j", "doc_id"), "buckets")
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
+    members = staged(buckets.withColumn("k", F.col("bucket")).join(shared, "k").select("bucket", "j", "doc_id", "n"), "members")
     sketches = worded.select("doc_id", "n_words", "bins")
-    first = staged(candidates(members, sketches), "candidates")
-    links = staged(verified(first, docs), "links")
+    # the texts that a pair may ask for; joined by sorting at every size
+    asked = members.select("doc_id").distinct().hint("merge")
+    texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "texts")
+    tried = staged(candidates(members.filter(F.col("j") < FIRST_SAMPLES), sketches), "candidates")
+    links = staged(verified(tried, texts), "links")
+    # then pairs of one bucket whose documents are still in different components: a few of each two, at last all
+    for few in (True, False):
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        comp = staged(asked.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp")), "components")
+        mixed = members.join(comp, "doc_id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(apart_long("bucket").alias("k"))
+        unsettled = members.withColumn("k", F.col("bucket")).join(mixed, "k").select("bucket", "doc_id", "n")
+        found = staged(candidates(unsettled, sketches, comp, few), "candidates")
+        rest = found.join(tried, ["a", "b"], "left_anti")
+        links = staged(links.unionAll(verified(rest, texts)), "links")
+        tried = tried.unionAll(rest)
+        if not found.filter("more").limit(1).count():
+            break
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # then every likely pair of one bucket whose documents are still in different components
-    comp = members.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp"))
-    comp = staged(comp, "components")
-    mixed = members.join(comp, "doc_id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(apart(F.col("bucket").cast("string")).alias("k"))
-    open_members = members.withColumn("k", F.col("bucket").cast("string")).join(mixed, "k").select("bucket", "doc_id", "n")
-    rest = staged(candidates(open_members, sketches, comp).join(first, ["a", "b"], "left_anti"), "candidates")
-    roots = components(links.unionAll(verified(rest, docs)).select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = sketch.filter("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return found.unionAll(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -100,14 +100,14 @@ def micros(x: X) -> str:
     if x.kind == "time":
         return x.sql
     if x.kind == "dt":
-        return f"((hour({x.sql}) * 3600 + minute({x.sql}) * 60 + second({x.sql})) * 1000000)"
+        return f"((hour({x.sql}) * 3600 + minute({x.sql}) * 60 + second({x.sql})) * 1000000L)"
     if x.kind == "date":
         return "0"
     if x.kind in ("int", "num"):
         n = f"CAST({x.sql} AS BIGINT)"
-        return f"((({n} DIV 10000) * 3600 + (({n} DIV 100) % 100) * 60 + {n} % 100) * 1000000)"
+        return f"((({n} DIV 10000) * 3600 + (({n} DIV 100) % 100) * 60 + {n} % 100) * 1000000L)"
     part = lambda k: f"coalesce(try_cast(regexp_extract({x.sql}, '^(-?)(?:[0-9-]+[ T])?([0-9]+):([0-9]+)(?::([0-9]+))?', {k}) AS BIGINT), 0)"
-    return f"IF({x.sql} IS NULL, NULL, IF({x.sql} LIKE '-%', -1, 1) * ({part(2)} * 3600 + {part(3)} * 60 + {part(4)}) * 1000000)"
+    return f"IF({x.sql} IS NULL, NULL, IF({x.sql} LIKE '-%', -1, 1) * ({part(2)} * 3600 + {part(3)} * 60 + {part(4)}) * 1000000L)"
 
 
 def folded(x: X) -> str:

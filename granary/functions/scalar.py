@@ -345,8 +345,8 @@ def from_unixtime(t: X, form: X | None = None) -> X:
 
 add("FROM_UNIXTIME", 1, 2, from_unixtime)
 add("MAKEDATE", 2, 2, lambda y, n: X(f"IF({small(n)} < 1, NULL, date_add(make_date({small(y)}, 1, 1), {small(n)} - 1))", "date"))
-add("MAKETIME", 3, 3, lambda h, m, s: X(f"(({whole(h)} * 3600 + {whole(m)} * 60 + {whole(s)}) * 1000000)", "time"))
-add("SEC_TO_TIME", 1, 1, lambda n: X(f"({whole(n)} * 1000000)", "time"))
+add("MAKETIME", 3, 3, lambda h, m, s: X(f"(({whole(h)} * 3600 + {whole(m)} * 60 + {whole(s)}) * 1000000L)", "time"))
+add("SEC_TO_TIME", 1, 1, lambda n: X(f"({whole(n)} * 1000000L)", "time"))
 add("TIME_TO_SEC", 1, 1, lambda x: X(f"({micros(x)} DIV 1000000)", "int"))
 add("CONVERT_TZ", 3, 3, lambda x, *_: X(datetime(x), "dt"))
 

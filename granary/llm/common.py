@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_granary_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="granary-")) / "granary.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for path in sorted(root.rglob("*.py")):
+            held.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._granary_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that a worker's memory doesn't follow the text length."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -26,10 +26,13 @@ BINS = 128
 SIMILARITY = 0.8
 #: Samples whose buckets are searched first, and the pairs that two components then get from a block before all do.
 FIRST_SAMPLES = 8
-FEW = 2
+FEW = 16
 #: Rows of a bucket that are compared in one block; larger buckets are compared block against block.
 BLOCK = 2048
 
+#: Places among which a document's words are counted; the counts bound the edits between two documents from below.
+BAG = 128
+
 FEATURES = "doc_id long, digest string, n_words int, samples array<long>, bins binary"
 
 
@@ -73,6 +76,11 @@ def bin_minima(kmers: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
+def bag_counts(words: np.ndarray) -> np.ndarray:
+    """How many words fall to each of BAG places, as bytes that stop at 255."""
+    return np.minimum(np.bincount((words >> U(57)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
+
+
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     words = split_words(batch.column(1))
     digests, samples, bins = [], [], []
@@ -82,7 +90,7 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
             kmers = windows(own, min(K, len(own)))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
             samples.append(order_samples(kmers, SAMPLES, MINIMA).view(np.int64))
-            bins.append(bin_minima(kmers).tobytes())
+            bins.append(bin_minima(kmers).tobytes() + bag_counts(own).tobytes())
         else:
             digests.append(None)
             samples.append(np.zeros(0, np.int64))
@@ -95,7 +103,10 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """A row a document: a digest of its words, and its sketches; documents without words have no digest."""
+    """A row a document: a digest of its words, and its sketches; documents without words have no digest.
+
+    bins holds the k-mers' bin minima, then the word counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +127,12 @@ def likely(bins_a: np.ndarray, bins_b: np.ndarray) -> np.ndarray:
     return same >= 0.45 * used - 1.25 * np.sqrt(used)
 
 
+def few_edits(bags_a: np.ndarray, bags_b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether word counts leave `most` edits possible: an edit takes a word away, adds one, or does both."""
+    gap = bags_a.astype(np.int16) - bags_b
+    return np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most
+
+
 def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.ndarray, words: np.ndarray, bins: np.ndarray, comp: np.ndarray | None):
     """Likely pairs of rows with one key, sorted by key and id, as row numbers (a, b): with comp all pairs of different
     components, else of each row the pair with the first row that it is likely to equal."""
@@ -136,7 +153,9 @@ def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.
             if comp is not None:
                 ok &= comp[a] != comp[b]
             a, b = a[ok], b[ok]
-            ok = likely(bins[a], bins[b])
+            ok = few_edits(bins[a, BINS:], bins[b, BINS:], (1 - SIMILARITY) * np.maximum(words[a], words[b]) + 1e-9)
+            a, b = a[ok], b[ok]
+            ok = likely(bins[a, :BINS], bins[b, :BINS])
             a, b = a[ok], b[ok]
             if comp is None:
                 first[b] = a
@@ -184,7 +203,7 @@ def _compare(across: bool, few: bool):
             key = np.zeros(stop, np.int64)
             key[change[change < stop]] = 1
             key = np.cumsum(key)
-            bins = np.frombuffer(b"".join(t["bins"].combine_chunks().slice(0, stop).to_pylist()), np.uint8).reshape(stop, BINS)
+            bins = np.frombuffer(b"".join(t["bins"].combine_chunks().slice(0, stop).to_pylist()), np.uint8).reshape(stop, BINS + BAG)
             get = lambda c: t[c].to_numpy()[:stop]
             ids, comp = get("doc_id"), get("comp") if across else None
             a, b = _block_pairs(key, get("block"), get("crossed"), ids, get("n_words"), bins, comp)

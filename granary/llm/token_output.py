@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would only wait
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,19 +58,39 @@ class Encoder:
             cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")]), ends) + 4).tolist()
             self.memo.update(zip(some, [ids[a:b] for a, b in zip([0, *cuts], cuts)]))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO_WORDS // 2:
             self.old, self.memo = self.memo, {}
-        split = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.memo)
-        unsafe = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        self.learn(new - unsafe)
-        whole = {k for k, words in enumerate(split) if not unsafe.isdisjoint(words)} if unsafe else set()
-        first = self.ids([t if k in whole else words[0] for k, (t, words) in enumerate(zip(texts, split))])
-        return [b"".join([x, self.end] if k in whole else [x, *map(self.memo.__getitem__, words[1:]), self.end]) for k, (x, words) in enumerate(zip(first, split))]
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy()
+        bounds = (bounds - bounds[0]).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        place, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        held = list(map(self.memo.get, words))
+        new = [k for k, x in enumerate(held) if x is None]  # what is remembered is safe
+        unsafe = np.zeros(len(words), bool)
+        unsafe[[k for k in new if not words[k] or words[k][0].isspace() or words[k][-1].isspace()]] = True
+        whole = np.flatnonzero(np.add.reduceat(unsafe[place], bounds[:-1])).tolist() if unsafe.any() else []
+        self.learn({words[k] for k in new if not unsafe[k]})
+        for k in new:
+            held[k] = self.memo.get(words[k], b"")
+        # a first word has no space before it; an end id follows each last word
+        first = self.ids([words[k] for k in place[bounds[:-1]].tolist()])
+        held += [*first, self.end]
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        begin = np.cumsum(size) - size
+        place = place.astype(np.int64)
+        place[bounds[:-1]] = len(words) + np.arange(len(texts))
+        place = np.insert(place, bounds[1:], len(held) - 1)
+        length = size[place]
+        stop = np.cumsum(length)
+        flat = np.frombuffer(b"".join(held), "<u4")[np.repeat(begin[place] - (stop - length), length) + np.arange(int(stop[-1]))].tobytes()
+        cut = np.concatenate([[0], 4 * stop[bounds[1:] + np.arange(len(texts))]]).tolist()
+        out = [flat[x:y] for x, y in zip(cut, cut[1:])]
+        for k, ids in zip(whole, self.ids([texts[k].as_py() for k in whole])):
+            out[k] = ids + self.end
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -100,7 +123,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
             if writer is None:
                 encode, writer = encoder(tokenizer_path, end_id), Writer(shard_uri(folder, shard), level)
             ids.append(batch.column(0).to_numpy())
-            for content in encode(batch.column(1).to_pylist()):
+            for content in encode(batch.column(1)):
                 total += len(content) // 4
                 writer.frame(content)
         if writer is not None:

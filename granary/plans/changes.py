@@ -177,8 +177,8 @@ class Changes:
         col = F.col(ident(name))
         empty = col.isNull() | (col == 0)
         top = max(t.next_id - 1, t.rows().agg(F.max(col)).first()[0] or 0, rows.agg(F.max(col)).first()[0] or 0)
-        order = Window.partitionBy(empty).orderBy("_ord")
-        out = staged(rows.withColumn(name, F.when(empty, F.row_number().over(order) + F.lit(top)).otherwise(col).cast(t.column(name).type.spark)).withColumn("_new", empty), "numbered")
+        number = F.row_number().over(Window.partitionBy("_new").orderBy("_ord")) + F.lit(top)
+        out = staged(rows.withColumn("_new", empty).withColumn(name, F.when(F.col("_new"), number).otherwise(col).cast(t.column(name).type.spark)), "numbered")
         low, high = out.agg(F.min(F.when(F.col("_new"), col)), F.max(col)).first()
         t.next_id = max(t.next_id, (high or 0) + 1)
         return out.drop("_new"), low

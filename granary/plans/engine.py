@@ -54,8 +54,12 @@ class Engine(SchemaStatements, ShowStatements):
     def temp_view(self, df: DataFrame, stem: str) -> str:
         self.temp += 1
         view = f"_{re.sub(r'[^0-9a-zA-Z]', '_', stem)}_{self.temp}"
-        df.createOrReplaceTempView(view)
-        return view
+        if df.sparkSession._jsparkSession == self.spark._jsparkSession:
+            df.createOrReplaceTempView(view)
+            return view
+        view += f"_{id(self):x}"  # a frame of another session is seen through a global view
+        df.createOrReplaceGlobalTempView(view)
+        return f"global_temp.{view}"
 
     def relation(self, name: str):
         if (t := self.tables.get(name.lower())) is not None:
@@ -210,7 +214,7 @@ class Engine(SchemaStatements, ShowStatements):
         A new table takes the frame's columns; the key is the one named, else the first column if its values are
         unique and none is null, else an automatic id.
         """
-        df = staged(df, name)
+        df = staged(self.spark.table(self.temp_view(df, name)), name)
         t = self.tables.get(name.lower())
         if t is None:
             first = key or df.columns[0]

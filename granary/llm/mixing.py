@@ -43,9 +43,9 @@ def share_of(column: str) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """docs (text and what it has of source, lang and topic) with _source, _lang, _topic and _tokens."""
+    """docs (text and what it has of source, lang and topic) with __mix_source, __mix_lang, __mix_topic and __mix_tokens."""
     held = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) if c in docs.columns else (topic_of(F.col("text")) if c == "topic" else F.lit(UNKNOWN))
-    return docs.withColumns({f"_{c}": held(c) for c in POWERS} | {"_tokens": tokens_of(F.col("text"))})
+    return docs.withColumns({f"__mix_{c}": held(c) for c in POWERS} | {"__mix_tokens": tokens_of(F.col("text"))})
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], powers: list[float], rounds: int = ROUNDS) -> np.ndarray:
@@ -67,46 +67,46 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], powers: list[float], round
 def rake_table(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The same for cells that are too many for the driver: each fitting is an aggregate and a join."""
     total = cells.agg(F.sum("tokens")).first()[0]
-    keys = [f"_{c}" for c in POWERS]
+    keys = [f"__mix_{c}" for c in POWERS]
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     targets = {}
     for key, power in zip(keys, POWERS.values()):
         own = cells.groupBy(key).agg(F.sum("tokens").alias("own")).withColumn("share", F.pow("own", F.lit(power)))
         whole = own.agg(F.sum("share")).first()[0]
-        targets[key] = staged(own.select(apart(key).alias("_k"), (F.col("share") / whole * total).alias("target")), "targets")
+        targets[key] = staged(own.select(apart(key).alias("__mix_k"), (F.col("share") / whole * total).alias("target")), "targets")
     for _ in range(rounds):
         for key in keys:
-            own = now.groupBy(key).agg(F.sum("weight").alias("own")).select(apart(key).alias("_k"), "own")
-            factor = own.join(targets[key], "_k").select("_k", (F.col("target") / F.col("own")).alias("factor"))
-            now = now.withColumn("_k", F.col(key)).join(factor, "_k").withColumn("weight", F.col("weight") * F.col("factor")).select(*keys, "tokens", "weight")
+            own = now.groupBy(key).agg(F.sum("weight").alias("own")).select(apart(key).alias("__mix_k"), "own")
+            factor = own.join(targets[key], "__mix_k").select("__mix_k", (F.col("target") / F.col("own")).alias("factor"))
+            now = now.withColumn("__mix_k", F.col(key)).join(factor, "__mix_k").withColumn("weight", F.col("weight") * F.col("factor")).select(*keys, "tokens", "weight")
         now = staged(now, "rake")
     return now
 
 
 def calibrated(docs: DataFrame, *, cells_on_driver: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """docs with _probability: of its cell, the raked weight over the tokens, so scaled that the largest is one.
+    """docs with __mix_probability: of its cell, the raked weight over the tokens, so scaled that the largest is one.
 
     Documents without tokens have probability one: they weigh nothing in any mixture.
     """
-    keys = [f"_{c}" for c in POWERS]
+    keys = [f"__mix_{c}" for c in POWERS]
     rows = with_cells(docs)
-    cells = staged(rows.filter("_tokens > 0").groupBy(*keys).agg(F.sum("_tokens").alias("tokens")), "cells")
+    cells = staged(rows.filter("__mix_tokens > 0").groupBy(*keys).agg(F.sum("__mix_tokens").alias("tokens")), "cells")
     n = cells.count()
     if n <= cells_on_driver:
         held = cells.orderBy(*keys).collect()  # at most cells_on_driver rows
         if not held:
-            return rows.withColumn("_probability", F.lit(1.0))
+            return rows.withColumn("__mix_probability", F.lit(1.0))
         tokens = np.array([r.tokens for r in held], np.float64)
         codes = [np.unique([r[k] for r in held], return_inverse=True)[1] for k in keys]
         ratio = rake(tokens, codes, list(POWERS.values()), rounds) / tokens
-        found = docs.sparkSession.createDataFrame([(*(r[k] for k in keys), float(p)) for r, p in zip(held, ratio / ratio.max())], ", ".join(f"{k} string" for k in keys) + ", _probability double")
+        found = docs.sparkSession.createDataFrame([(*(r[k] for k in keys), float(p)) for r, p in zip(held, ratio / ratio.max())], ", ".join(f"{k} string" for k in keys) + ", __mix_probability double")
         joined = rows.join(F.broadcast(found), keys, "left")
     else:
         raked = rake_table(cells, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
         most = raked.agg(F.max("ratio")).first()[0]
-        found = raked.select(*[apart(k).alias(f"{k}_") for k in keys], (F.col("ratio") / most).alias("_probability"))
+        found = raked.select(*[apart(k).alias(f"{k}_") for k in keys], (F.col("ratio") / most).alias("__mix_probability"))
         joined = rows.join(found, reduce(lambda a, b: a & b, [rows[k] == found[f"{k}_"] for k in keys]), "left")
-    return joined.withColumn("_probability", F.when(F.col("_tokens") == 0, 1.0).otherwise(F.col("_probability")))
+    return joined.withColumn("__mix_probability", F.when(F.col("__mix_tokens") == 0, 1.0).otherwise(F.col("__mix_probability")))
 
 
 def sample(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
@@ -116,17 +116,17 @@ def sample(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     chooses alike. Null sources, languages and topics are a value of their own, `unknown`. Without a topic column the
     topic is the text's form. No rows give no rows.
     """
-    return calibrated(docs, rounds=rounds).filter(share_of("doc_id") < F.col("_probability")).select(*docs.columns)
+    return calibrated(docs, rounds=rounds).filter(share_of("doc_id") < F.col("__mix_probability")).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = calibrated(table(spark, sf_dir, "documents"))
     return held.select(
         "doc_id",
-        F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("n_tokens"),
-        F.round("_probability", 6).alias("probability"),
-        (share_of("doc_id") < F.col("_probability")).alias("kept"),
+        F.col("__mix_topic").alias("topic"),
+        F.col("__mix_tokens").alias("n_tokens"),
+        F.round("__mix_probability", 6).alias("probability"),
+        (share_of("doc_id") < F.col("__mix_probability")).alias("kept"),
     )
 
 

@@ -18,6 +18,10 @@ from granary.llm.words import U, mix, split_words, weights, windows
 
 #: Words of a k-mer, samples of a document, minima of a sample.
 K = 5
+#: In short texts one edit touches most k-mers of five words, so these are sampled by shorter ones: (words of a k-mer,
+#: fewest and most words of a text). Lengths overlap by more than SIMILARITY lets two texts differ.
+LENGTHS = ((1, 1, 15), (2, 12, 62), (K, 40, None))
+SHORT = 62
 SAMPLES = 20
 MINIMA = 2
 #: One-byte minima of a document's k-mers, by which the members of a bucket are compared before any alignment.
@@ -87,10 +91,10 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     for lo, hi in zip(words.offsets, words.offsets[1:]):
         own = words.hashes[lo:hi]
         if len(own):
-            kmers = windows(own, min(K, len(own)))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
-            samples.append(order_samples(kmers, SAMPLES, MINIMA).view(np.int64))
-            bins.append(bin_minima(kmers).tobytes() + bag_counts(own).tobytes())
+            held = [order_samples(mix(windows(own, k) + U(k)), SAMPLES, MINIMA) for k, fewest, most in LENGTHS if fewest <= len(own) <= (most or len(own))]
+            samples.append(np.concatenate(held).view(np.int64))
+            bins.append(bin_minima(windows(own, min(K, len(own)))).tobytes() + bag_counts(own).tobytes())
         else:
             digests.append(None)
             samples.append(np.zeros(0, np.int64))
@@ -155,7 +159,7 @@ def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.
             a, b = a[ok], b[ok]
             ok = few_edits(bins[a, BINS:], bins[b, BINS:], (1 - SIMILARITY) * np.maximum(words[a], words[b]) + 1e-9)
             a, b = a[ok], b[ok]
-            ok = likely(bins[a, :BINS], bins[b, :BINS])
+            ok = (np.maximum(words[a], words[b]) <= SHORT) | likely(bins[a, :BINS], bins[b, :BINS])
             a, b = a[ok], b[ok]
             if comp is None:
                 first[b] = a
@@ -267,9 +271,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Documents are linked when at most a fifth of the longer one's words must be inserted, deleted or replaced to get
     the other; equal word sequences are always one class. Pairs are searched by Order MinHash over k-mers of five
-    words: a pair of k-mer similarity J is found with probability 1 - (1 - J^2)^20 or so (0.9999 at 0.6, 1 - 1e-9 at
-    0.8). Groups are what links reach. A document without words, a null text included, is a class of its own. Texts
-    under five words have one k-mer. doc_id names a document: rows with a null id are left out; rows that share an id get
+    words, of two or one in short texts: a pair of k-mer similarity J is found with probability 1 - (1 - J^2)^20 or so
+    (0.9999 at 0.6, 1 - 1e-9 at 0.8). Groups are what links reach. A document without words, a null text included, is a class of its own. doc_id names a document: rows with a null id are left out; rows that share an id get
     the smallest class of them. Other columns are ignored. No rows give no rows.
     """
     small_batches(docs.sparkSession)
@@ -279,14 +282,14 @@ def classes(docs: DataFrame) -> DataFrame:
     least = worded.groupBy("digest").agg(F.min("doc_id").alias("rep")).select(apart("digest").alias("d"), "rep")
     member = staged(worded.select("doc_id", F.col("digest").alias("d")).join(least, "d").select("doc_id", "rep"), "copies")
     reps = worded.join(member.filter("rep = doc_id").select("doc_id"), "doc_id", "left_semi")
-    buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "s")).select(F.xxhash64("j", "s").alias("bucket"), "j", "doc_id"), "buckets")
+    buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "bucket")), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
     members = staged(buckets.withColumn("k", F.col("bucket")).join(shared, "k").select("bucket", "j", "doc_id", "n"), "members")
     sketches = worded.select("doc_id", "n_words", "bins")
     # the texts that a pair may ask for; joined by sorting at every size
     asked = members.select("doc_id").distinct().hint("merge")
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "texts")
-    tried = staged(candidates(members.filter(F.col("j") < FIRST_SAMPLES), sketches), "candidates")
+    tried = staged(candidates(members.filter(F.col("j") % SAMPLES < FIRST_SAMPLES), sketches), "candidates")
     links = staged(verified(tried, texts), "links")
     # then pairs of one bucket whose documents are still in different components: a few of each two, at last all
     for few in (True, False):
@@ -311,9 +314,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows with a null id stay. Columns are those of docs.
     """
-    gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    same = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").filter("doc_id is not null")
-    one = same.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_row = 1")
+    gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__dedup_gone"))
+    same = docs.join(gone, F.col("doc_id") == F.col("__dedup_gone"), "left_anti").filter("doc_id is not null")
+    one = same.withColumn("__dedup_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__dedup_row = 1")
     return one.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
 
 

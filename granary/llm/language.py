@@ -18,11 +18,12 @@ DICTIONARY_BYTES = 128 << 10
 ALL_BYTES = 64 << 20
 #: Documents a language's dictionary is made of, at most; those of the least id hashes, none over a quarter of it.
 SAMPLE_DOCS = 400
+PARTS = 16
 #: Bytes that are encoded at once, so that what a long text repeats of itself doesn't hide the dictionary's part.
 BLOCK = 8 << 10
 LEVEL = 8
 #: Shares of the second smallest size by which the smallest must lie below it.
-MARGIN = 0.002
+MARGIN = 0.001
 
 LETTERS_ONLY = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -71,8 +72,12 @@ def learn(docs: DataFrame) -> Model:
     SAMPLE_DOCS a language and together at most ALL_BYTES, come to the driver.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.octet_length("text") > DICTIONARY_BYTES // 4, F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.withColumn("size", F.least(F.octet_length("text"), F.lit(DICTIONARY_BYTES))).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
+    far, near = F.octet_length("text") > DICTIONARY_BYTES // 4, F.xxhash64("doc_id")
+    held = rows.select("lang", "doc_id", far.alias("far"), near.alias("near"), F.least(F.octet_length("text"), F.lit(DICTIONARY_BYTES)).alias("size"))
+    # a language's best are found in parts first, so that a common one isn't ranked in one task
+    part = Window.partitionBy("lang", F.pmod("near", F.lit(PARTS))).orderBy("far", "near", "doc_id")
+    best = held.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= SAMPLE_DOCS)
+    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("far", "near", "doc_id"))).filter(F.col("place") <= SAMPLE_DOCS)
     total = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     chosen = ranked.select("lang", "place", "size", "doc_id").withColumn("before", F.coalesce(F.sum("size").over(total), F.lit(0))).filter(F.col("before") < DICTIONARY_BYTES).select("lang", "place", "doc_id").collect()
     languages = sorted({r.lang for r in chosen})

@@ -84,15 +84,14 @@ class Reader:
     def frames(self, most: int = 8 << 20):
         """All frames in order, read in stretches of about `most` bytes."""
         at, total = 0, len(self.entries)
+        sizes, checksums, starts = self.entries["size"].tolist(), self.entries["checksum"].tolist(), self.starts.tolist()
         while at < total:
             stop = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + most, "right")) - 1)
             stop = min(stop, total)
             held = memoryview(self.file.read_at(int(self.starts[stop] - self.starts[at]), int(self.starts[at])))
             for k in range(at, stop):
-                lo = int(self.starts[k] - self.starts[at])
-                entry = self.entries[k]
-                content = self.unpack.decompress(held[lo : lo + int(entry["packed"])]) if entry["size"] else b""
-                if xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != entry["checksum"]:
+                content = self.unpack.decompress(held[starts[k] - starts[at] : starts[k + 1] - starts[at]]) if sizes[k] else b""
+                if xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != checksums[k]:
                     raise ValueError(f"frame {k}: checksum differs")
                 yield content
             at = stop

@@ -18,9 +18,23 @@ from granary.llm.common import small_batches, table, work_dir
 from granary.llm.seekable import Reader, Writer
 
 #: Remembered words of a worker, in two generations: a full young one becomes the old one, whose words come back when used.
-MEMO_WORDS = 1_000_000
-#: Unknown words that go to the library as one text.
+MEMO_WORDS = 800_000
+#: Rows and bytes of a batch: in a larger one fewer words are met again; and texts whose ids are gathered at once.
+ENCODED_ROWS, ENCODED_BYTES, GATHERED = 4096, 10 << 20, 128
+#: Unknown words that go to the library together.
 JOINED_WORDS = 4000
+#: Punctuation that, after letters, is a piece of its own. The apostrophe isn't among it: it may begin a contraction.
+TAIL = ".,;:!?*#$%&|()[]{}\"-_/+=<>@^`~\\"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The characters that a byte-level vocabulary writes for bytes: printable ones for themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
+ALPHABET = byte_alphabet()
+SPACE, LINE = ALPHABET[32], ALPHABET[10]
 
 
 class Encoder:
@@ -28,7 +42,8 @@ class Encoder:
 
     The pre-tokenizer always begins a new piece at a single space between two non-space characters, so a text may be
     cut there: the ids of its words, each with the space before it, are the text's ids. Texts with other white space
-    beside a space, or a space at an end, go to the library whole.
+    beside a space, or a space at an end, go to the library whole. A word of letters alone is one piece, which the
+    library's model takes without pre-tokenizing; punctuation after letters is a second, a line's end a third.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -36,9 +51,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Tokenizer(self.tokenizer.model)  # no pre-tokenizer
         self.end = np.array([end_id], "<u4").tobytes()
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}  # letters that follow a line's end, with it
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -46,17 +64,73 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of words, each with a space before it, encoded many at a time and parted by their bytes."""
-        known = words & self.old.keys()
-        self.memo.update((w, self.old[w]) for w in known)
-        fresh = list(words - known)
-        for at in range(0, len(fresh), JOINED_WORDS):
-            some = fresh[at : at + JOINED_WORDS]
-            ids = self.ids([" " + " ".join(some)])[0]
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")]), ends) + 4).tolist()
-            self.memo.update(zip(some, [ids[a:b] for a, b in zip([0, *cuts], cuts)]))
+    def parted(self, ids: np.ndarray, sizes: list[int]) -> list[bytes]:
+        """ids of texts that follow each other, by the texts' sizes in bytes."""
+        cuts = (4 * np.searchsorted(self.n_bytes[ids].cumsum(), np.cumsum(sizes)) + 4).tolist()
+        held = ids.tobytes()
+        return [held[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def of_pieces(self, start: str, between: list[str], words: list[str]) -> list[bytes]:
+        """ids of words of letters alone, each after the pieces in between and with `start` before its first letter."""
+        out: list[bytes] = []
+        more = sum(map(len, between))
+        for at in range(0, len(words), JOINED_WORDS):
+            own = [start + w if w.isascii() else start + w.encode().decode("latin-1").translate(ALPHABET) for w in words[at : at + JOINED_WORDS]]
+            pieces = own if not between else [p for w in own for p in (*between, w)]
+            ids = self.pieces.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids
+            out += self.parted(np.array(ids, "<u4"), [len(w) + more for w in own])
+        return out
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of unknown words, all different, each with a space before it; they are remembered."""
+        out: list = list(map(self.old.get, words))
+        rest = [k for k, x in enumerate(out) if x is None]
+        letters = [k for k in rest if words[k].isalpha()]
+        joined, others, cores, tails, lines = [], [], {}, set(), set()
+        for k in rest:
+            w = words[k]
+            if w.isalpha():
+                continue
+            core = w.rstrip(TAIL)
+            last = tail = ""
+            if not core.isalpha():
+                head, line, last = w.partition("\n")
+                core = head.rstrip(TAIL)
+                if not line or not last.isalpha() or not core.isalpha():
+                    others.append(k)
+                    continue
+                lines.add(last)
+                tail = head[len(core) :]
+            else:
+                tail = w[len(core) :]
+            tails.add(tail)
+            ids = self.memo.get(core) or self.old.get(core)
+            cores[core] = ids
+            joined.append((k, core, tail, last))
+        fresh = [words[k] for k in letters]
+        for k, ids in zip(letters, self.of_pieces(SPACE, [], fresh)):
+            out[k] = ids
+            if words[k] in cores:
+                cores[words[k]] = ids
+        missing = [c for c, ids in cores.items() if ids is None]
+        cores.update(zip(missing, self.of_pieces(SPACE, [], missing)))
+        for held in (self.tails, self.lines):
+            if len(held) > MEMO_WORDS // 4:
+                held.clear()
+        if new := list(tails - self.tails.keys()):
+            self.tails.update(zip(new, self.ids(new)))
+        if new := list(lines - self.lines.keys()):
+            self.lines.update(zip(new, self.of_pieces("", [LINE], new)))
+        for k, core, tail, last in joined:
+            out[k] = cores[core] + self.tails[tail] + (self.lines[last] if last else b"")
+        for at in range(0, len(others), JOINED_WORDS):
+            some = [words[k] for k in others[at : at + JOINED_WORDS]]
+            ids = np.frombuffer(self.ids([" " + " ".join(some)])[0], "<u4")
+            for k, x in zip(others[at:], self.parted(ids, [len(w.encode()) + 1 for w in some])):
+                out[k] = x
+        self.memo.update(cores)
+        self.memo.update(zip(words, out))
+        return out
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
@@ -69,12 +143,17 @@ class Encoder:
         place, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         held = list(map(self.memo.get, words))
         new = [k for k, x in enumerate(held) if x is None]  # what is remembered is safe
-        unsafe = np.zeros(len(words), bool)
-        unsafe[[k for k in new if not words[k] or words[k][0].isspace() or words[k][-1].isspace()]] = True
-        whole = np.flatnonzero(np.add.reduceat(unsafe[place], bounds[:-1])).tolist() if unsafe.any() else []
-        self.learn({words[k] for k in new if not unsafe[k]})
-        for k in new:
-            held[k] = self.memo.get(words[k], b"")
+        bad = [k for k in new if not words[k] or words[k][0].isspace() or words[k][-1].isspace()]
+        whole = []
+        if bad:
+            unsafe = np.zeros(len(words), bool)
+            unsafe[bad] = True
+            whole = np.flatnonzero(np.add.reduceat(unsafe[place], bounds[:-1])).tolist()
+            new = [k for k in new if not unsafe[k]]
+            for k in bad:
+                held[k] = b""
+        for k, ids in zip(new, self.learn([words[k] for k in new])):
+            held[k] = ids
         # a first word has no space before it; an end id follows each last word
         first = self.ids([words[k] for k in place[bounds[:-1]].tolist()])
         held += [*first, self.end]
@@ -83,11 +162,17 @@ class Encoder:
         place = place.astype(np.int64)
         place[bounds[:-1]] = len(words) + np.arange(len(texts))
         place = np.insert(place, bounds[1:], len(held) - 1)
-        length = size[place]
-        stop = np.cumsum(length)
-        flat = np.frombuffer(b"".join(held), "<u4")[np.repeat(begin[place] - (stop - length), length) + np.arange(int(stop[-1]))].tobytes()
-        cut = np.concatenate([[0], 4 * stop[bounds[1:] + np.arange(len(texts))]]).tolist()
-        out = [flat[x:y] for x, y in zip(cut, cut[1:])]
+        bounds = bounds + np.arange(len(bounds))
+        joined = np.frombuffer(b"".join(held), "<u4")
+        out: list[bytes] = []
+        for k in range(0, len(texts), GATHERED):  # a part of the texts at a time, which bounds the scratch memory
+            edges = bounds[k : k + GATHERED + 1]
+            own = place[edges[0] : edges[-1]]
+            length = size[own]
+            stop = np.cumsum(length)
+            flat = joined[np.repeat(begin[own] - (stop - length), length) + np.arange(int(stop[-1]))].tobytes()
+            cut = [0, *(4 * stop[edges[1:] - edges[0] - 1]).tolist()]
+            out += [flat[x:y] for x, y in zip(cut, cut[1:])]
         for k, ids in zip(whole, self.ids([texts[k].as_py() for k in whole])):
             out[k] = ids + self.end
         return out
@@ -103,7 +188,7 @@ def shard_uri(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:06d}.ids.zst"
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 0, level: int = 3) -> list[dict]:
+def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int = 0, level: int = 1) -> list[dict]:
     """Encode docs (doc_id, text) and write shards in ascending doc_id order; the manifest, one entry a shard.
 
     Null and empty texts are documents of the end id alone. Rows of one doc_id follow each other in the order of their
@@ -111,6 +196,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
     No rows: no shards. Other columns are ignored. A shard's index holds its doc_ids; frame k is document k.
     """
     small_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ENCODED_ROWS))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ENCODED_BYTES))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)

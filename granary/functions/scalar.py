@@ -103,7 +103,20 @@ def insert(s: X, p: X, n: X, r: X) -> X:
 
 add("INSERT", 4, 4, insert)
 add("QUOTE", 1, 1, lambda s: X(f"coalesce(concat('\\'', replace(replace({text(s)}, '\\\\', '\\\\\\\\'), '\\'', '\\\\\\''), '\\''), 'NULL')", "str"))
-add("SOUNDEX", 1, 1, strings("soundex({0})"))
+# Fixed value: the code of each letter; vowels, H, W and Y have none.
+CODES = "01230120022455012623010202"
+
+
+def soundex(s: X) -> X:
+    """The first letter, then codes: H and W aside, equal neighbours fall together; not cut, filled up to four."""
+    letters = f"upper(regexp_replace({text(s)}, '[^A-Za-z]', ''))"
+    heard = f"concat(left({letters}, 1), regexp_replace(substring({letters}, 2), '[HW]', ''))"
+    codes = f"regexp_replace(translate({heard}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{CODES}'), '([0-6])\\\\1+', '$1')"
+    out = f"concat(left({letters}, 1), replace(substring({codes}, 2), '0', ''))"
+    return X(f"IF({letters} = '', '', rpad({out}, greatest(4, char_length({out})), '0'))", "str")
+
+
+add("SOUNDEX", 1, 1, soundex)
 CI = "IF({flags} LIKE '%c%', '', '(?i)')"
 
 

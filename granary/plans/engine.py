@@ -21,6 +21,9 @@ from granary.plans.staging import staged
 from granary.plans.types import Type, of_spark
 
 ROUNDS, ROUND_ROWS = 1000, 200_000
+#: Statements that can be taken back.
+UNDO_MOST = 100
+READING = {"query", "show", "explain", "set", "use", "idle", "begin"}
 
 
 class Engine(SchemaStatements, ShowStatements):
@@ -39,7 +42,8 @@ class Engine(SchemaStatements, ShowStatements):
         self.variables: dict[str, X] = {}
         self.system: dict[str, X] = {"FOREIGN_KEY_CHECKS": X("1", "int", "1"), "AUTOCOMMIT": X("1", "int", "1")}
         self.last_id, self.row_count, self.name, self.temp = 0, 0, "main", 0
-        self.saved: dict[str, Table] | None = None
+        self.past: list[tuple[dict, dict]] = []
+        self.future: list[tuple[dict, dict]] = []
 
     # the catalog, as the emitter asks for it
     def attach(self, name: str, df: DataFrame, key: str | None = None) -> None:
@@ -137,7 +141,33 @@ class Engine(SchemaStatements, ShowStatements):
         x = Emitter(self).expr(e, Scope([], None))
         return x, self.spark.sql(f"SELECT {x.sql} AS v").first()[0]
 
+    def state(self) -> tuple[dict, dict]:
+        return {k: t.copy() for k, t in self.tables.items()}, dict(self.views)
+
+    def undo(self) -> bool:
+        """Take the last change back; tables are immutable frames, so a state is a list of plans."""
+        if not self.past:
+            return False
+        self.future.append(self.state())
+        self.tables, self.views = self.past.pop()
+        return True
+
+    def redo(self) -> bool:
+        if not self.future:
+            return False
+        self.past.append(self.state())
+        self.tables, self.views = self.future.pop()
+        return True
+
     def execute(self, s: n.Statement) -> DataFrame | str:
+        if s.kind in READING:
+            return self.perform(s)
+        before = self.state()
+        out = self.perform(s)
+        self.past, self.future = [*self.past, before][-UNDO_MOST:], []
+        return out
+
+    def perform(self, s: n.Statement) -> DataFrame | str:
         return getattr(self, f"do_{s.kind}")(**s.data) if s.kind != "create_view" else self.do_create_view(s.data)
 
     def do_query(self, query: n.Query) -> DataFrame:

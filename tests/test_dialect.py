@@ -95,6 +95,10 @@ def test_predicates(e):
         ("1 IN ()", 0),
         ("2 ^ 3 * 2", 2),
         ("1 OR NULL", 1),
+        ("SOUNDEX('Pfister')", "P236"),
+        ("SOUNDEX('Ashcraftsonian')", "A2613255"),
+        ("SOUNDEX('1')", ""),
+        ("SOUNDEX('Tymczak')", "T522"),
         ("0x1F", 31),
         ("x'4142'", "AB"),
         ("'it''s' 'joined'", "it'sjoined"),

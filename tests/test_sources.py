@@ -1,5 +1,6 @@
 import json
 
+from granary import cli
 from granary.sources import files, packs
 from granary.sources.log_source import LogSource
 from granary.streaming.refresh import current, follow, windowed_counts
@@ -68,3 +69,16 @@ def test_follow_a_log(spark, tmp_path):
 def test_windowed_counts(spark):
     df = spark.sql("SELECT * FROM VALUES (TIMESTAMP'2026-01-01 00:00:10', 'a'), (TIMESTAMP'2026-01-01 00:04:59', 'a'), (TIMESTAMP'2026-01-01 00:05:00', 'a') AS t(ts, k)")
     assert sorted(r.n for r in windowed_counts(df, "ts", "5 minutes", "1 minute", "k").collect()) == [1, 2]
+
+
+def test_cli(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sku,qty\nA,1\nB,=2\nB,3\n")
+    held = cli.encode(spark, str(tmp_path / "a.csv"))
+    assert (held["rows"], held["duplicate_keys"], len(held["packs"])) == (3, 1, 1)
+    assert cli.decode(spark, held["packs"]) == "sku,qty\nA,1\nB,'=2\nB,3\n"
+    out = cli.run_sql(spark, "SELECT sku, sku FROM t WHERE id = 1; SET @x = 1", {"t": str(tmp_path / "a.csv")}, "json")
+    assert out == '[{"sku": "A", "sku_2": "A"}]Set\n'
+    log = tmp_path / "log"
+    log.mkdir()
+    (log / "0.json").write_text("\n".join(json.dumps({"id": str(k), "p": packs.encode(["id", "v"], rows, deleted=gone), "time": k}) for k, (rows, gone) in enumerate([([["a", "1"], ["b", "2"]], ()), ([["a", "9"], ["b", None]], (1,))])))
+    assert cli.read_log(spark, str(log)) == "id,v\na,9\n"

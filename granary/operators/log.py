@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Slices of a log's order whose sums meet in one task.
+SLICES = 10_000
+
+
 def latest(log: DataFrame, key: str | Column, seq: str | Column) -> DataFrame:
     """The row of the greatest seq of each key, all columns kept. Aggregated before the shuffle, so hot keys are one row a task."""
     k = F.col(key) if isinstance(key, str) else key
@@ -93,11 +97,12 @@ def by_writer(log: DataFrame, signer: str, owner: str, writers: Sequence[str] =
 def within_budget(log: DataFrame, size: str, seq: str, official: Column, *, pack_bytes: int = 64 << 10, total_bytes: int = 4 << 20) -> DataFrame:
     """Official rows, and of the others those up to pack_bytes whose sizes, newest first, sum up to total_bytes at most.
 
-    The running sum is over other writers' rows alone, of which no more than total_bytes can stay: it is computed in
-    two steps, per slice of the order and then over the slices' sums.
+    The running sum is computed in two steps, within slices of the order and over the slices' sums; there are SLICES
+    at most, whatever the log's length.
     """
     others = log.filter(~official & (F.col(size) <= pack_bytes))
-    sliced = others.withColumn("_slice", F.floor(F.col(seq) / 4096))
+    newest = others.agg(F.max(seq)).first()[0] or 0
+    sliced = others.withColumn("_slice", F.floor(F.col(seq) / max(64, -(-newest // SLICES))))
     sums = sliced.groupBy("_slice").agg(F.sum(size).alias("_sum"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") <= total_bytes)
     within = Window.partitionBy("_slice").orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,7 @@ from granary.dialect.lexer import DialectError
 from granary.dialect.parser import parse_expr
 from granary.functions.base import X, condition, ident, merged, quote, united
 from granary.plans.model import SEGMENTS, Foreign, Table, folded_key
-from granary.plans.staging import staged
+from granary.plans.staging import numbered, staged
 from granary.plans.types import of_spark
 
 
@@ -177,8 +177,11 @@ class Changes:
         col = F.col(ident(name))
         empty = col.isNull() | (col == 0)
         top = max(t.next_id - 1, t.rows().agg(F.max(col)).first()[0] or 0, rows.agg(F.max(col)).first()[0] or 0)
-        number = F.row_number().over(Window.partitionBy("_new").orderBy("_ord")) + F.lit(top)
-        out = staged(rows.withColumn("_new", empty).withColumn(name, F.when(F.col("_new"), number).otherwise(col).cast(t.column(name).type.spark)), "numbered")
+        kind = t.column(name).type.spark
+        split = rows.withColumn("_new", empty)
+        fresh = numbered(split.filter("_new").drop(name), name, top + 1, "_ord")
+        both = split.filter("NOT _new").unionByName(fresh)
+        out = staged(both.select(*[F.col(ident(c)).cast(kind) if c.lower() == name.lower() else F.col(ident(c)) for c in split.columns]), "numbered")
         low, high = out.agg(F.min(F.when(F.col("_new"), col)), F.max(col)).first()
         t.next_id = max(t.next_id, (high or 0) + 1)
         return out.drop("_new"), low

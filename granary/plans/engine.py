@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.dialect import nodes as n
@@ -17,7 +17,7 @@ from granary.plans.model import Column, Foreign, Table
 from granary.plans.schema import SchemaStatements
 from granary.plans.show import ShowStatements
 from granary.plans.statements import parse_script
-from granary.plans.staging import staged
+from granary.plans.staging import numbered, staged
 from granary.plans.types import Type, of_spark
 
 ROUNDS, ROUND_ROWS = 1000, 200_000
@@ -253,8 +253,7 @@ class Engine(SchemaStatements, ShowStatements):
             if rows == distinct == filled and rows:
                 self.tables[name.lower()] = Table(name, columns, first, df)
             else:
-                numbered = df.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint").alias("id"), *map(ident, df.columns))
-                self.tables[name.lower()] = Table(name, [Column("id", Type("BIGINT"), True, auto=True), *columns], "id", staged(numbered, name), next_id=rows + 1)
+                self.tables[name.lower()] = Table(name, [Column("id", Type("BIGINT"), True, auto=True), *columns], "id", staged(numbered(df, "id"), name), next_id=rows + 1)
             return f"{name}: {rows} rows"
         known = [c for c in df.columns if t.column(c)]
         ignored = [c for c in df.columns if not t.column(c)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +24,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     labels = df.columns
     df.toDF(*[f"c{k}" for k in range(len(labels))]).write.parquet(path)  # names of any kind, equal but for case included
     return df.sparkSession.read.parquet(path).toDF(*labels)
+
+
+#: Low bits of monotonically_increasing_id(): a row's place in its partition.
+PLACE = (1 << 33) - 1
+
+
+def numbered(df: DataFrame, name: str, start: int = 1, order: str | None = None) -> DataFrame:
+    """df with a column of whole numbers from `start` without gaps, in the order given, else in the rows' own.
+
+    Places within partitions are written with the rows; only the partitions' sizes, a row each, are summed in one task.
+    """
+    rows = df if order is None else df.repartitionByRange(order).sortWithinPartitions(order)
+    held = staged(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit(PLACE))
+    sizes = held.groupBy(part.alias("__part")).agg((F.max(place) + 1).alias("__size"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
+    out = held.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each partition
+    return out.withColumn(name, (F.col("__before") + place + F.lit(start)).cast("bigint")).drop("__at", "__part", "__before")

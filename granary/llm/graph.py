@@ -29,7 +29,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while not _settled(now):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         held = _with_least(large)
         small = held.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(held.select("u", F.col("m").alias("v"))).distinct()
         now = staged(small, name)

@@ -230,18 +230,18 @@ def _compare(across: bool, few: bool):
     return run
 
 
-def candidates(members: DataFrame, sketches: DataFrame, comp: DataFrame | None = None, few: bool = False) -> DataFrame:
+def candidates(members: DataFrame, comp: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Pairs (a, b, more) of documents of one bucket with likely similarity.
 
-    members: (bucket, doc_id, n), buckets of one document left out. Without comp: for each document of a block its
-    first likely partner, so that a group's documents are linked by as many pairs as it has documents. With comp
-    (doc_id, comp): all likely pairs of different components, or with few the first FEW that two components have in a
-    block, `more` where they have others. Buckets over BLOCK rows are split in blocks by a hash of the id, and each
-    pair of blocks is a group of its own, whichever task it falls to.
+    members: (bucket, doc_id, n, n_words, bins), buckets of one document left out. Without comp: for each document of a
+    block its first likely partner, so that a group's documents are linked by as many pairs as it has documents. With
+    comp (node, root), nodes that it lacks being their own: all likely pairs of different components, or with few the
+    first FEW that two components have in a block, `more` where they have others. Buckets over BLOCK rows are split in
+    blocks by a hash of the id, and each pair of blocks is a group of its own, whichever task it falls to.
     """
-    rows = members.join(sketches, "doc_id")
+    rows = members
     if comp is not None:
-        rows = rows.join(comp, "doc_id")
+        rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
     dealt = spread(rows, BLOCK, ["doc_id", "n_words", "bins", *(["comp"] if comp is not None else [])], "doc_id")
     return dealt.mapInArrow(_compare(comp is not None, few), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -280,30 +280,28 @@ def classes(docs: DataFrame) -> DataFrame:
     # equal word sequences: one representative each, found before any bucket is made
     worded = sketch.filter("digest is not null")
     least = worded.groupBy("digest").agg(F.min("doc_id").alias("rep")).select(apart("digest").alias("d"), "rep")
-    member = staged(worded.select("doc_id", F.col("digest").alias("d")).join(least, "d").select("doc_id", "rep"), "copies")
-    reps = worded.join(member.filter("rep = doc_id").select("doc_id"), "doc_id", "left_semi")
+    known = staged(worded.withColumn("d", F.col("digest")).join(least, "d").drop("d", "digest"), "copies")
+    member = known.select("doc_id", "rep")
+    reps = known.filter("rep = doc_id")
     buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "bucket")), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
-    members = staged(buckets.withColumn("k", F.col("bucket")).join(shared, "k").select("bucket", "j", "doc_id", "n"), "members")
-    sketches = worded.select("doc_id", "n_words", "bins")
+    meeting = buckets.withColumn("k", F.col("bucket")).join(shared, "k").drop("k")
+    members = staged(meeting.join(reps.select("doc_id", "n_words", "bins"), "doc_id"), "members")
     # the texts that a pair may ask for; joined by sorting at every size
     asked = members.select("doc_id").distinct().hint("merge")
     texts = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), "texts")
-    tried = staged(candidates(members.filter(F.col("j") % SAMPLES < FIRST_SAMPLES), sketches), "candidates")
+    tried = staged(candidates(members.filter(F.col("j") % SAMPLES < FIRST_SAMPLES)), "candidates")
     links = staged(verified(tried, texts), "links")
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # then pairs of one bucket whose documents are still in different components: a few of each two, at last all
     for few in (True, False):
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comp = staged(asked.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("comp")), "components")
-        mixed = members.join(comp, "doc_id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(apart_long("bucket").alias("k"))
-        unsettled = members.withColumn("k", F.col("bucket")).join(mixed, "k").select("bucket", "doc_id", "n")
-        found = staged(candidates(unsettled, sketches, comp, few), "candidates")
-        rest = found.join(tried, ["a", "b"], "left_anti")
-        links = staged(links.unionAll(verified(rest, texts)), "links")
+        found = staged(candidates(members, roots, few), "candidates")
+        rest = staged(found.join(tried, ["a", "b"], "left_anti"), "candidates")
+        links = links.unionAll(staged(verified(rest, texts), "links"))
         tried = tried.unionAll(rest)
+        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         if not found.filter("more").limit(1).count():
             break
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = sketch.filter("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return found.unionAll(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

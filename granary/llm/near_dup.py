@@ -30,7 +30,7 @@ BINS = 128
 SIMILARITY = 0.8
 #: Samples whose buckets are searched first, and the pairs that two components then get from a block before all do.
 FIRST_SAMPLES = 8
-FEW = 16
+FEW = 256
 #: Rows of a bucket that are compared in one block; larger buckets are compared block against block.
 BLOCK = 2048
 

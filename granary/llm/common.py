@@ -47,7 +47,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base and not base.startswith("file:"):
+    if base.startswith("file:/") and not base.startswith("file://"):  # as Hadoop writes it
+        base = base.removeprefix("file:")
+    if "://" not in base:
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

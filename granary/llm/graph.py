@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import apart_long, staged
@@ -30,7 +30,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while not _settled(now):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        held = _with_least(large)
+        # a node has few smaller neighbours by now: a window needs one shuffle where the join takes three
+        held = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         small = held.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(held.select("u", F.col("m").alias("v"))).distinct()
         now = staged(small, name)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -297,6 +297,8 @@ def classes(docs: DataFrame) -> DataFrame:
     for few in (True, False):
         found = staged(candidates(members, roots, few), "candidates")
         rest = staged(found.join(tried, ["a", "b"], "left_anti"), "candidates")
+        if rest.isEmpty():
+            break
         links = links.unionAll(staged(verified(rest, texts), "links"))
         tried = tried.unionAll(rest)
         roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

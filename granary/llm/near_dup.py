@@ -16,13 +16,16 @@ from granary.llm.common import apart, apart_long, small_batches, staged, table
 from granary.llm.graph import components
 from granary.llm.words import U, mix, split_words, weights, windows
 
-#: Words of a k-mer, samples of a document, minima of a sample.
-K = 5
-#: In short texts one edit touches most k-mers of five words, so these are sampled by shorter ones: (words of a k-mer,
-#: fewest and most words of a text). Lengths overlap by more than SIMILARITY lets two texts differ.
-LENGTHS = ((1, 1, 15), (2, 12, 62), (K, 40, None))
+#: Words of a k-mer, samples of a document, minima of a sample. An edit touches two k-mers of two words at most, so a
+#: fifth of the words edited, wherever, leaves the k-mers' similarity at LEAST or more; five words could leave nothing.
+K = 2
+#: In texts of a few words one edit touches most k-mers of two, so these are sampled by single words too: (words of a
+#: k-mer, fewest and most words of a text). Lengths overlap by more than SIMILARITY lets two texts differ.
+LENGTHS = ((1, 1, 15), (K, 12, None))
 SHORT = 62
-SAMPLES = 20
+#: (n - 1 - 2 e) / (n - 1 + 2 e), rounded down, for e edits, a fifth of n words, and n over SHORT.
+LEAST = 0.42
+SAMPLES = 30
 MINIMA = 2
 #: One-byte minima of a document's k-mers, by which the members of a bucket are compared before any alignment.
 BINS = 128
@@ -40,20 +43,26 @@ BAG = 128
 FEATURES = "doc_id long, digest string, n_words int, samples array<long>, bins binary"
 
 
-def order_samples(kmers: np.ndarray, samples: int, minima: int) -> np.ndarray:
-    """Order MinHash: per sample the `minima` k-mers of least hash, k-mers told apart by occurrence, in text order."""
+def labelled(kmers: np.ndarray) -> np.ndarray:
+    """The k-mers, told apart by occurrence."""
     order = np.argsort(kmers, kind="stable")
     held = kmers[order]
     fresh = np.concatenate([[True], held[1:] != held[:-1]])
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(held)), 0))
-    labelled = np.empty_like(kmers)
-    labelled[order] = mix(held + (np.arange(len(held)) - first).astype(U) * U(0x9E3779B97F4A7C15))
+    out = np.empty_like(kmers)
+    out[order] = mix(held + (np.arange(len(held)) - first).astype(U) * U(0x9E3779B97F4A7C15))
+    return out
+
+
+def order_samples(kmers: np.ndarray, samples: int, minima: int) -> np.ndarray:
+    """Order MinHash: per sample the `minima` k-mers of least hash, k-mers told apart by occurrence, in text order."""
+    own = labelled(kmers)
     seeds = weights(samples, 23)
     take = weights(minima, 29)
     out = np.zeros(samples, U)
     step = max(1, (1 << 18) // len(kmers))
     for at in range(0, samples, step):
-        value = (labelled ^ seeds[at : at + step, None]) * U(0x9E3779B97F4A7C15)
+        value = (own ^ seeds[at : at + step, None]) * U(0x9E3779B97F4A7C15)
         value ^= value >> U(29)
         value *= U(0xBF58476D1CE4E5B9)
         rows = np.arange(len(value))
@@ -70,8 +79,8 @@ def order_samples(kmers: np.ndarray, samples: int, minima: int) -> np.ndarray:
 
 
 def bin_minima(kmers: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """One byte of the least hash in each of `bins` bins; 0 where a bin is empty."""
-    value = mix(kmers ^ U(0xD6E8FEB86659FD93))
+    """One byte of the least hash in each of `bins` bins, k-mers told apart by occurrence; 0 where a bin is empty."""
+    value = mix(labelled(kmers) ^ U(0xD6E8FEB86659FD93))
     order = np.argsort(value)
     place = (value[order] >> U(64 - bins.bit_length() + 1)).astype(np.int64)
     first = np.concatenate([[True], place[1:] != place[:-1]])
@@ -121,14 +130,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def likely(bins_a: np.ndarray, bins_b: np.ndarray) -> np.ndarray:
-    """Whether the shares of equal bins leave a similarity of the k-mer sets near 0.6 possible.
-
-    Replacing every 25th word takes the sets' similarity to about 0.66. The line lies 2.5 standard deviations of the
-    estimate below 0.45, so that short documents, whose estimate is coarse, always pass.
+    """Whether the shares of equal bins leave a similarity of the k-mers of LEAST possible, which every pair within
+    SIMILARITY has over SHORT words. The line lies four standard deviations of the estimate, at the most, below it.
     """
     used = ((bins_a | bins_b) != 0).sum(axis=1)
     same = ((bins_a == bins_b) & (bins_a != 0)).sum(axis=1)
-    return same >= 0.45 * used - 1.25 * np.sqrt(used)
+    return same >= LEAST * used - 2 * np.sqrt(used)
 
 
 def few_edits(bags_a: np.ndarray, bags_b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -270,10 +277,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, kept): class_id is the smallest doc_id of the document's group, kept where it is its own.
 
     Documents are linked when at most a fifth of the longer one's words must be inserted, deleted or replaced to get
-    the other; equal word sequences are always one class. Pairs are searched by Order MinHash over k-mers of five
-    words, of two or one in short texts: a pair of k-mer similarity J is found with probability 1 - (1 - J^2)^20 or so
-    (0.9999 at 0.6, 1 - 1e-9 at 0.8). Groups are what links reach. A document without words, a null text included, is a class of its own. doc_id names a document: rows with a null id are left out; rows that share an id get
-    the smallest class of them. Other columns are ignored. No rows give no rows.
+    the other; equal word sequences are always one class. Pairs are searched by Order MinHash over k-mers of two
+    words, and of one in short texts: a pair of k-mer similarity J is found with probability 1 - (1 - J^2)^30 or so
+    (0.998 at 0.43, which a fifth of the words edited leaves at the least; 0.9999 at 0.52). Groups are what links
+    reach. A document without words, a null text included, is a class of its own. doc_id names a document: rows with a
+    null id are left out; rows that share an id get the smallest class of them. Other columns are ignored. No rows
+    give no rows.
     """
     small_batches(docs.sparkSession)
     sketch = staged(features(docs), "sketches")

@@ -117,6 +117,31 @@ def test_near_duplicates(spark, corpus, monkeypatch):
         assert all(kept == (d == c) for d, (c, kept) in got.items())
 
 
+@pytest.mark.parametrize("share", [10, 15, 20])
+def test_scattered_edits_are_found(spark, share):
+    rng = random.Random(share)
+    rows = []
+    for k in range(200):  # pairs without a closer copy between them, up to the very bound
+        base = [f"w{rng.randrange(20_000)}" for _ in range(rng.choice([70, 300, 900]))]
+        other = list(base)
+        for at in rng.sample(range(len(base)), len(base) * share // 100):
+            other[at] = f"x{rng.randrange(20_000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    held = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(held[2 * k + 1] == 2 * k for k in range(200)) / 200
+    assert found >= 0.99 and all(held[2 * k] == 2 * k for k in range(200))
+
+
+def test_the_filter_passes_what_the_bound_allows():
+    rng = np.random.default_rng(5)
+    for n in (65, 300, 3000):  # every fifth word replaced: no k-mer of five words survives
+        a = rng.integers(0, 1 << 60, (300, n)).astype(np.uint64)
+        b = a.copy()
+        b[:, 2::5] ^= np.uint64(1)
+        bins = [np.stack([near_dup.bin_minima(near_dup.windows(row, near_dup.K)) for row in x]) for x in (a, b)]
+        assert near_dup.likely(*bins).all()
+
+
 def test_near_duplicates_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.classes(empty).count() == 0 and near_dup.deduplicate(empty).count() == 0

@@ -63,6 +63,7 @@ q("scan_dual", "SELECT 1 + 1 AS two FROM DUAL", "SELECT 2 AS two")
 q("values_rows", "VALUES ROW(1, 'a'), ROW(2, 'b')", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS v(column_0, column_1)")
 q("derived_table", "SELECT t.k, t.n FROM (SELECT n_regionkey AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey) AS t WHERE t.n > 1")
 q("view_scan", "CREATE VIEW rich AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000; SELECT * FROM rich WHERE c_custkey < 500", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_custkey < 500")
+q("view_scan_whole", "CREATE VIEW rich AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000; SELECT * FROM rich WHERE c_acctbal < 9000", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_acctbal < 9000")
 q("proj_exprs", "SELECT c_custkey, c_acctbal * 2 AS twice, n.* FROM customer JOIN nation n ON c_nationkey = n.n_nationkey")
 q("proj_labels", "SELECT COUNT(*), MAX(o_orderkey) FROM orders", 'SELECT COUNT(*) AS "COUNT(*)", MAX(o_orderkey) AS "MAX(o_orderkey)" FROM orders')
 q("filter_where", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
@@ -105,6 +106,7 @@ q("in_sub_multi", "SELECT COUNT(*) AS n FROM customer WHERE (c_nationkey, c_mkts
 q("exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20)")
 q("not_exists", "SELECT s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > 9000)")
 q("any_sub", "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT p_size FROM part WHERE p_type = 'PROMO') AND p_partkey < 300")
+q("any_sub_whole", "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT p_size FROM part WHERE p_type = 'PROMO')")
 q("all_sub", "SELECT c_custkey FROM customer WHERE c_acctbal >= ALL (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')")
 q("all_sub_null", "SELECT p_size > ALL (SELECT NULLIF(r_regionkey, 2) FROM region) AS x, COUNT(*) AS n FROM part GROUP BY x", "SELECT CASE WHEN p_size <= 4 THEN 0 END AS x, COUNT(*) AS n FROM part GROUP BY 1")
 q("any_projected", "SELECT r_regionkey, r_regionkey = ANY (SELECT n_regionkey FROM nation WHERE n_nationkey < 3) AS x FROM region", "SELECT r_regionkey, CAST(r_regionkey = ANY (SELECT n_regionkey FROM nation WHERE n_nationkey < 3) AS INT) AS x FROM region")
@@ -121,6 +123,7 @@ q("join_cross", "SELECT r.r_name, t.x FROM region r CROSS JOIN (SELECT 1 AS x UN
 q("join_comma", "SELECT COUNT(*) AS n FROM orders, customer WHERE o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
 q("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey + b.n_regionkey > 6")
 q("join_using", "SELECT event_id, n FROM events JOIN (SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id) c USING (user_id) WHERE user_id < 20")
+q("join_using_whole", "SELECT event_id, n FROM events JOIN (SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id) c USING (user_id)")
 q("join_using_star", "SELECT * FROM nation JOIN (SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey) c USING (n_regionkey)")
 q("join_natural", "SELECT * FROM nation NATURAL JOIN (SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey = 2) z")
 q("join_natural_right", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation WHERE n_nationkey < 5) x NATURAL RIGHT JOIN (SELECT n_nationkey AS k, n_regionkey AS b FROM nation WHERE n_nationkey < 9) y")
@@ -199,6 +202,7 @@ q("fn_date_parts", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate
 q("fn_date_arith", "SELECT o_orderkey, DATEDIFF(o_orderdate, '1992-01-01') AS a, DATE_ADD(DATE(o_orderdate), INTERVAL 3 WEEK) AS b, DATE_SUB(DATE(o_orderdate), INTERVAL 1 YEAR) AS c, TIMESTAMPDIFF(MONTH, '1992-01-15', o_orderdate) AS d, TIMESTAMPADD(HOUR, 5, o_orderdate) AS e, MAKEDATE(2024, 60) AS g, UNIX_TIMESTAMP(o_orderdate) AS h, FROM_DAYS(730000) AS i FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - DATE '1992-01-01' AS INT) AS a, CAST(CAST(o_orderdate AS DATE) + INTERVAL 21 DAY AS DATE) AS b, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 YEAR AS DATE) AS c, datesub('month', TIMESTAMP '1992-01-15', o_orderdate) AS d, o_orderdate + INTERVAL 5 HOUR AS e, DATE '2024-02-29' AS g, CAST(epoch(o_orderdate) AS BIGINT) AS h, CAST(DATE '1970-01-01' + INTERVAL (730000 - 719528) DAY AS DATE) AS i FROM orders")
 q("fn_date_format", "SELECT o_orderkey, DATE_FORMAT(o_orderdate, '%Y/%m/%d %H:%i') AS a, DATE_FORMAT(o_orderdate, '%W, %M') AS b, DAYNAME(o_orderdate) AS c, MONTHNAME(o_orderdate) AS d, STR_TO_DATE('28/09/2026', '%d/%m/%Y') AS e FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS a, strftime(o_orderdate, '%A, %B') AS b, dayname(o_orderdate) AS c, monthname(o_orderdate) AS d, DATE '2026-09-28' AS e FROM orders")
 q("fn_time", "SELECT event_id, SEC_TO_TIME(event_id) AS a, TIME_TO_SEC('01:02:03') AS b, CAST(TIMEDIFF('10:00:00', '08:30:00') AS CHAR) AS c, CAST(MAKETIME(30, 5, 1) AS CHAR) AS d FROM events WHERE event_id < 500", "SELECT event_id, event_id * 1000000 AS a, CAST(3723 AS BIGINT) AS b, '01:30:00' AS c, '30:05:01' AS d FROM events WHERE event_id < 500")
+q("fn_time_whole", "SELECT event_id, SEC_TO_TIME(event_id) AS a, TIME_TO_SEC('01:02:03') AS b, CAST(TIMEDIFF('10:00:00', '08:30:00') AS CHAR) AS c, CAST(MAKETIME(30, 5, 1) AS CHAR) AS d FROM events", "SELECT event_id, event_id * 1000000 AS a, CAST(3723 AS BIGINT) AS b, '01:30:00' AS c, '30:05:01' AS d FROM events")
 q("fn_flow", "SELECT p_partkey, IF(p_size > 25, 'big', 'small') AS a, IFNULL(NULLIF(p_size, 10), -1) AS b, COALESCE(NULL, NULLIF(p_type, 'promo'), 'none') AS c, ISNULL(NULLIF(p_size, 3)) AS d FROM part", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS a, coalesce(nullif(p_size, 10), -1) AS b, coalesce(nullif(p_type, 'PROMO'), 'none') AS c, CAST(nullif(p_size, 3) IS NULL AS INT) AS d FROM part")
 q("fn_json", """SELECT event_id, JSON_EXTRACT(props, '$.k') AS a, JSON_VALID(props) AS b, JSON_LENGTH(props) AS c, JSON_TYPE(props) AS d, JSON_KEYS(props) AS e, JSON_UNQUOTE('"x"') AS g, JSON_OBJECT('a', 1, 'b', 'two') AS h, JSON_ARRAY(1, 'x', NULL) AS i, JSON_CONTAINS('[1, 2]', '2') AS j, JSON_QUOTE('q') AS k FROM events""", """SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS a, 1 AS b, 1 AS c, 'OBJECT' AS d, '["k"]' AS e, 'x' AS g, '{"a":1,"b":"two"}' AS h, '[1,"x",null]' AS i, 1 AS j, '"q"' AS k FROM events""")
 q("fn_info", "SELECT DATABASE() AS a, CONNECTION_ID() AS b, LAST_INSERT_ID() AS c, SLEEP(0) AS d", "SELECT 'main' AS a, 1 AS b, 0 AS c, 0 AS d")

@@ -25,3 +25,11 @@ def test_query(spark, name):
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
     rows = sorted((tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), key=repr)
     assert got == rows
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", "view_scan_whole any_sub_whole join_using_whole fn_time_whole".split())
+def test_whole_tables(spark, name):
+    test_query(spark, name)
+    text = library.oracle_sql()[name]
+    assert not any(f"{key} <" in text for key in ("c_custkey", "p_partkey", "user_id", "event_id"))

@@ -285,6 +285,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", files.guarded(F.concat(mark, F.substring("text", 1, 20))).alias("cell"))
 
 
+@f("csv_guard_whole", "SELECT doc_id, CASE WHEN regexp_matches(x, '^[=@\\t\\r]') OR (regexp_matches(x, '^[+-]') AND NOT regexp_matches(x, '^[+-]\\s*([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\s*$') AND trim(substr(x, 2), ' ') <> '') THEN '''' || x ELSE x END AS cell FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || text AS x FROM documents)")
+def _(spark, d):
+    mark = F.element_at(F.array(F.lit("="), F.lit("-"), F.lit("@"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", files.guarded(F.concat(mark, F.col("text"))).alias("cell"))
+
+
 @f("json_rows_sink", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 def _(spark, d):
     return files.json_rows(table(spark, d, "region"))

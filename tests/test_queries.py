@@ -33,3 +33,10 @@ def test_whole_tables(spark, name):
     test_query(spark, name)
     text = library.oracle_sql()[name]
     assert not any(f"{key} <" in text for key in ("c_custkey", "p_partkey", "user_id", "event_id"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_guard_reads_whole_texts(spark):
+    test_query(spark, "csv_guard_whole")
+    longest = library.queries()["csv_guard_whole"](spark, SF).selectExpr("max(length(cell))").first()[0]
+    assert longest >= spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(length(text))").first()[0]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from granary.functions import compare
 from granary.operators import changes, log, relational
 from granary.plans.engine import Engine
+from granary.plans.staging import numbered
 from granary.sources import files, packs
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -242,7 +243,22 @@ q("rename_table", SHOP + "RENAME TABLE cust TO clients; SELECT COUNT(*) AS n FRO
 q("explain", "EXPLAIN SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT * FROM (VALUES ('1', 'nation', '25', 'scan; Spark plans filters, joins and order'), ('2', 'region', '5', 'scan; Spark plans filters, joins and order')) t(id, \"table\", \"rows\", \"access\")")
 
 
+def place(spark: SparkSession, sf_dir: str, script: str) -> DataFrame:
+    """The rows of an ordered query, numbered in its order."""
+    return numbered(engine(spark, sf_dir, script).sql(script), "place")
+
+
 # operators on DataFrames
+@f("order_nulls_whole", "SELECT c_custkey, row_number() OVER (ORDER BY NULLIF(c_nationkey, 3) NULLS FIRST, c_custkey) AS place FROM customer")
+def _(spark, d):
+    return place(spark, d, "SELECT c_custkey FROM customer ORDER BY NULLIF(c_nationkey, 3), c_custkey")
+
+
+@f("order_ordinal_alias_whole", "SELECT c_custkey AS k, c_acctbal AS b, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS place FROM customer")
+def _(spark, d):
+    return place(spark, d, "SELECT c_custkey AS k, c_acctbal AS b FROM customer ORDER BY 2 DESC, k")
+
+
 @f("join_semi", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
 def _(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")

@@ -40,3 +40,10 @@ def test_guard_reads_whole_texts(spark):
     test_query(spark, "csv_guard_whole")
     longest = library.queries()["csv_guard_whole"](spark, SF).selectExpr("max(length(cell))").first()[0]
     assert longest >= spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(length(text))").first()[0]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["order_nulls_whole", "order_ordinal_alias_whole"])
+def test_order_of_all_rows(spark, name):
+    test_query(spark, name)
+    assert library.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()

@@ -306,12 +306,15 @@ def classes(docs: DataFrame) -> DataFrame:
     for few in (True, False):
         found = staged(candidates(members, roots, few), "candidates")
         rest = staged(found.join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = few and found.filter("more").limit(1).count()
         if rest.isEmpty():
+            if more:
+                continue
             break
         links = links.unionAll(staged(verified(rest, texts), "links"))
         tried = tried.unionAll(rest)
         roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if not found.filter("more").limit(1).count():
+        if not more:
             break
     found = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = sketch.filter("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))

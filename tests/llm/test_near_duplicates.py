@@ -142,6 +142,21 @@ def test_the_filter_passes_what_the_bound_allows():
         assert near_dup.likely(*bins).all()
 
 
+def test_all_pairs_are_tried_though_the_first_few_were(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(near_dup, "FEW", 1)
+    fake = {None: [(1, 2, False)], True: [(1, 2, True)], False: [(1, 2, False), (1, 3, False)]}
+
+    def candidates(members, comp=None, few=False):
+        calls.append(None if comp is None else few)
+        return spark.createDataFrame(fake[calls[-1]], "a long, b long, more boolean").select("a", "b", "more")
+
+    monkeypatch.setattr(near_dup, "candidates", candidates)
+    texts = ["a b c d e f g h i j", "k l m n o p q r s t", "a b c d e f g h i z"]
+    held = near_dup.classes(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in held.collect()} == {1: 1, 2: 2, 3: 1} and calls == [None, True, False]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.classes(empty).count() == 0 and near_dup.deduplicate(empty).count() == 0

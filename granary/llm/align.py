@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def within(a: Sequence, b: Sequence, most: int) -> bool:
     """Whether at most `most` insertions, deletions and substitutions turn a into b.
@@ -32,6 +34,16 @@ def within(a: Sequence, b: Sequence, most: int) -> bool:
     return _band(b, a, most)
 
 
+def alike(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """within() of two arrays, whose equal ends are cut off first."""
+    short = min(len(a), len(b))
+    same = a[:short] == b[:short]
+    lo = short if same.all() else int(same.argmin())
+    same = a[len(a) - short + lo :][::-1] == b[len(b) - short + lo :][::-1]
+    end = short - lo if same.all() else int(same.argmin())
+    return within(a[lo : len(a) - end].tolist(), b[lo : len(b) - end].tolist(), most)
+
+
 def _band(rows: Sequence, columns: Sequence, most: int) -> bool:
     """rows is at least as long as columns, by `most` at most. Bit i of a column's integers is row j - most + i."""
     size = 2 * most + 1

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.align import similarity_bound, within
+from granary.llm.align import alike, similarity_bound
 from granary.llm.blocks import spread
 from granary.llm.common import apart, apart_long, small_batches, staged, table
 from granary.llm.graph import components
@@ -31,11 +31,12 @@ MINIMA = 2
 BINS = 128
 #: 1 - edits / words of the longer document.
 SIMILARITY = 0.8
-#: Samples whose buckets are searched first, and the pairs that two components then get from a block before all do.
+#: Samples whose buckets are searched first.
 FIRST_SAMPLES = 8
-FEW = 256
 #: Rows of a bucket that are compared in one block; larger buckets are compared block against block.
 BLOCK = 2048
+#: Words that the texts of a block have, about, where texts are compared; a longer text is a block of its own.
+BLOCK_WORDS = 1 << 20
 
 #: Places among which a document's words are counted; the counts bound the edits between two documents from below.
 BAG = 128
@@ -45,6 +46,8 @@ FEATURES = "doc_id long, digest string, n_words int, samples array<long>, bins b
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
     """The k-mers, told apart by occurrence."""
+    if not len(kmers):
+        return kmers
     order = np.argsort(kmers, kind="stable")
     held = kmers[order]
     fresh = np.concatenate([[True], held[1:] != held[:-1]])
@@ -101,7 +104,7 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = words.hashes[lo:hi]
         if len(own):
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest())
-            held = [order_samples(mix(windows(own, k) + U(k)), SAMPLES, MINIMA) for k, fewest, most in LENGTHS if fewest <= len(own) <= (most or len(own))]
+            held = [order_samples(mix(windows(own, k) + U(k)), SAMPLES, MINIMA) if fewest <= len(own) <= (most or len(own)) else np.zeros(SAMPLES, U) for k, fewest, most in LENGTHS]
             samples.append(np.concatenate(held).view(np.int64))
             bins.append(bin_minima(windows(own, min(K, len(own)))).tobytes() + bag_counts(own).tobytes())
         else:
@@ -118,7 +121,8 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
 def features(docs: DataFrame) -> DataFrame:
     """A row a document: a digest of its words, and its sketches; documents without words have no digest.
 
-    bins holds the k-mers' bin minima, then the word counts.
+    samples holds SAMPLES of each of LENGTHS, 0 where a text is too long or short for them; bins the k-mers' bin
+    minima, then the word counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +148,12 @@ def few_edits(bags_a: np.ndarray, bags_b: np.ndarray, most: np.ndarray) -> np.nd
     return np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= most
 
 
-def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.ndarray, words: np.ndarray, bins: np.ndarray, comp: np.ndarray | None):
-    """Likely pairs of rows with one key, sorted by key and id, as row numbers (a, b): with comp all pairs of different
-    components, else of each row the pair with the first row that it is likely to equal."""
+def _likely_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.ndarray, words: np.ndarray, bins: np.ndarray, comp: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs of rows with one key, rows sorted by key and id, as row numbers (a, b), a part at a time: those of
+    neighbours first. With comp only pairs of different components."""
     n = len(key)
     ends = np.concatenate([np.flatnonzero(key[1:] != key[:-1]) + 1, [n]])
     end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    first = np.full(n, -1)
-    pairs = []
     alive = np.arange(n)
     shift = 1
     while len(alive := alive[alive + shift < end[alive]]):
@@ -167,90 +169,148 @@ def _block_pairs(key: np.ndarray, block: np.ndarray, cross: np.ndarray, ids: np.
             ok = few_edits(bins[a, BINS:], bins[b, BINS:], (1 - SIMILARITY) * np.maximum(words[a], words[b]) + 1e-9)
             a, b = a[ok], b[ok]
             ok = (np.maximum(words[a], words[b]) <= SHORT) | likely(bins[a, :BINS], bins[b, :BINS])
-            a, b = a[ok], b[ok]
-            if comp is None:
-                first[b] = a
-            elif len(a):
-                pairs.append(np.stack([a, b]))
+            if ok.any():
+                yield a[ok], b[ok]
         shift += 1
-    if comp is None:
-        b = np.flatnonzero(first >= 0)
-        return first[b], b
-    return np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-
-
-def _few(a: np.ndarray, b: np.ndarray, key: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are among the first FEW of their two components and key, and whether those have more."""
-    low, high = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
-    order = np.lexsort((b, a, high, low, key[a]))
-    fresh = np.ones(len(a), bool)
-    for x in (key[a], low, high):
-        y = x[order]
-        fresh[1:] &= y[1:] == y[:-1]
-    fresh[1:], fresh[0] = ~fresh[1:], True
-    start = np.flatnonzero(fresh)
-    size = np.diff(np.concatenate([start, [len(a)]]))
-    place = np.arange(len(a)) - np.repeat(start, size)
-    keep, more = np.empty(len(a), bool), np.empty(len(a), bool)
-    keep[order], more[order] = place < FEW, np.repeat(size > FEW, size)
-    return keep, more
-
-
-def _compare(across: bool, few: bool):
-    """Rows come sorted by bucket, cell and id; whole groups of a partition are compared together."""
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays share, none of them repeated. An edit takes K k-mers away at the most."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
+
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS + BAG)
+
+
+def _first_partners(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    """(a, b): of each row the pair with the first row that it is likely to equal."""
+    ids, first = t["doc_id"].to_numpy(), np.full(len(t), -1)
+    for a, b in _likely_pairs(key, t["block"].to_numpy(), t["crossed"].to_numpy(), ids, t["n_words"].to_numpy(), _sketches(t["bins"]), None):
+        first[b] = a
+    b = np.flatnonzero(first >= 0)
+    a = first[b]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+
+
+def _open_rows(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    """(bucket, doc_id, n_words): the rows that are likely to equal one of another component."""
+    found = np.zeros(len(t), bool)
+    for a, b in _likely_pairs(key, t["block"].to_numpy(), t["crossed"].to_numpy(), t["doc_id"].to_numpy(), t["n_words"].to_numpy(), _sketches(t["bins"]), t["comp"].to_numpy()):
+        found[a] = found[b] = True
+    return t.select(["bucket", "doc_id", "n_words"]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else None
+
+
+def _joined(t: pa.Table, key: np.ndarray) -> pa.RecordBatch:
+    """(a, b): pairs that are SIMILARITY alike, as many as join what such pairs join.
+
+    A likely pair is aligned in the bucket of its first common sample, unless pairs before it joined its components.
+    """
+    ids, words, bucket = t["doc_id"].to_numpy(), t["n_words"].to_numpy(), t["bucket"].to_numpy()
+    held = t["samples"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    names, comp = np.unique(t["comp"].to_numpy(), return_inverse=True)
+    above = list(range(len(names)))
+    texts = split_words(t["text"].combine_chunks())
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    hashes = lambda k: texts.hashes[texts.offsets[k] : texts.offsets[k + 1]]
+    grams: dict[int, np.ndarray] = {}
+    left, right = [], []
+    for a, b in _likely_pairs(key, t["block"].to_numpy(), t["crossed"].to_numpy(), ids, words, _sketches(t["bins"]), comp):
+        same = (held[a] == held[b]) & (held[a] != 0)
+        here = held[a, same.argmax(axis=1)] == bucket[a]
+        for i, j in zip(a[here].tolist(), b[here].tolist()):
+            u, v = root(comp[i]), root(comp[j])
+            if u == v:
+                continue
+            most = similarity_bound(words[i], words[j], SIMILARITY)
+            for k in (i, j):
+                if k not in grams:
+                    grams[k] = np.sort(labelled(windows(hashes(k), K)))
+            if common(grams[i], grams[j]) >= max(words[i], words[j]) - K + 1 - K * most and alike(hashes(i), hashes(j), most):
+                above[max(u, v)] = min(u, v)
+                left.append(i)
+                right.append(j)
+    return pa.RecordBatch.from_arrays([pa.array(ids[left], pa.int64()), pa.array(ids[right], pa.int64())], ["a", "b"]) if left else None
+
+
+def _by_cell(compare, most_bytes: int = 8 << 20):
+    """Rows come sorted by bucket, cell and id; whole cells of a partition, `most_bytes` of them or one, are compared
+    together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        size = 0
 
         def flush(final: bool):
-            nonlocal held, rows
+            nonlocal held, size
             t = pa.Table.from_batches(held).combine_chunks()
             bucket, cell = t["bucket"].to_numpy(), t["cell"].to_numpy()
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
             stop = len(bucket) if final else (int(change[-1]) if len(change) else 0)
             if not stop:
+                held = t.to_batches()
                 return None
             key = np.zeros(stop, np.int64)
             key[change[change < stop]] = 1
-            key = np.cumsum(key)
-            bins = np.frombuffer(b"".join(t["bins"].combine_chunks().slice(0, stop).to_pylist()), np.uint8).reshape(stop, BINS + BAG)
-            get = lambda c: t[c].to_numpy()[:stop]
-            ids, comp = get("doc_id"), get("comp") if across else None
-            a, b = _block_pairs(key, get("block"), get("crossed"), ids, get("n_words"), bins, comp)
-            more = np.zeros(len(a), bool)
-            if few and len(a):
-                keep, more = _few(a, b, key, comp)
-                a, b, more = a[keep], b[keep], more[keep]
-            held = t.slice(stop).to_batches()
-            rows = len(bucket) - stop
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b])), pa.array(more)], ["a", "b", "more"])
+            out = compare(t.slice(0, stop).combine_chunks(), np.cumsum(key))
+            held = t.slice(stop).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
+            return out
 
+        waiting = most_bytes
         for batch in batches:
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= 1 << 14 and (out := flush(False)) is not None and out.num_rows:
-                yield out
-        if rows and (out := flush(True)) is not None and out.num_rows:
+            size += batch.nbytes
+            if size >= waiting:
+                if (out := flush(False)) is not None and out.num_rows:
+                    yield out
+                waiting = max(most_bytes, 2 * size)  # a cell of many batches isn't copied for each
+        if held and sum(b.num_rows for b in held) and (out := flush(True)) is not None and out.num_rows:
             yield out
 
     return run
 
 
-def candidates(members: DataFrame, comp: DataFrame | None = None, few: bool = False) -> DataFrame:
-    """Pairs (a, b, more) of documents of one bucket with likely similarity.
+def _with_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of one bucket with likely similarity: for each document of a block its first likely
+    partner, so that a group's documents are linked by as many pairs as it has documents.
 
-    members: (bucket, doc_id, n, n_words, bins), buckets of one document left out. Without comp: for each document of a
-    block its first likely partner, so that a group's documents are linked by as many pairs as it has documents. With
-    comp (node, root), nodes that it lacks being their own: all likely pairs of different components, or with few the
-    first FEW that two components have in a block, `more` where they have others. Buckets over BLOCK rows are split in
+    members: (bucket, doc_id, n, n_words, bins), buckets of one document left out. Buckets over BLOCK rows are split in
     blocks by a hash of the id, and each pair of blocks is a group of its own, whichever task it falls to.
     """
-    rows = members
-    if comp is not None:
-        rows = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
-    dealt = spread(rows, BLOCK, ["doc_id", "n_words", "bins", *(["comp"] if comp is not None else [])], "doc_id")
-    return dealt.mapInArrow(_compare(comp is not None, few), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    dealt = spread(members, BLOCK, ["doc_id", "n_words", "bins"], "doc_id")
+    return dealt.mapInArrow(_by_cell(_first_partners), "a long, b long").distinct()
+
+
+def remaining(members: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that link components of comp (node, root), nodes that it lacks being their own: with them each
+    likely pair of a bucket is either within one component or was aligned and found less than SIMILARITY alike.
+
+    Pairs are aligned where they meet, and only those that join something leave the task: no more than rows. First the
+    rows are found that have a likely partner in another component; only these get their texts (doc_id, text,
+    samples). Blocks have BLOCK rows and BLOCK_WORDS words or so, which bounds a cell's memory.
+    """
+    dealt = spread(_with_components(members, comp), BLOCK, ["doc_id", "n_words", "bins", "comp"], "doc_id")
+    found = dealt.mapInArrow(_by_cell(_open_rows), "bucket long, doc_id long, n_words int").distinct()
+    opened = staged(found, "open")
+    size = opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_words").cast("long")).alias("all_words")).select(apart_long("bucket").alias("k"), "n", "all_words")
+    sketches = members.select("doc_id", "bins").join(opened.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = _with_components(opened, comp).withColumn("k", F.col("bucket")).join(size, "k").join(sketches, "doc_id").join(texts, "doc_id")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all_words") / BLOCK_WORDS))
+    return spread(whole, BLOCK, ["doc_id", "n_words", "bins", "comp", "samples", "text"], "doc_id", blocks).mapInArrow(_by_cell(_joined), "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -263,9 +323,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             left, right = split_words(batch.column(2)), split_words(batch.column(3))
             keep = []
             for k in range(batch.num_rows):
-                x = left.hashes[left.offsets[k] : left.offsets[k + 1]].tolist()
-                y = right.hashes[right.offsets[k] : right.offsets[k + 1]].tolist()
-                keep.append(within(x, y, similarity_bound(len(x), len(y), SIMILARITY)))
+                x = left.hashes[left.offsets[k] : left.offsets[k + 1]]
+                y = right.hashes[right.offsets[k] : right.offsets[k + 1]]
+                keep.append(alike(x, y, similarity_bound(len(x), len(y), SIMILARITY)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     half = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -292,7 +352,7 @@ def classes(docs: DataFrame) -> DataFrame:
     known = staged(worded.withColumn("d", F.col("digest")).join(least, "d").drop("d", "digest"), "copies")
     member = known.select("doc_id", "rep")
     reps = known.filter("rep = doc_id")
-    buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "bucket")), "buckets")
+    buckets = staged(reps.select("doc_id", F.posexplode("samples").alias("j", "bucket")).filter("bucket <> 0"), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
     meeting = buckets.withColumn("k", F.col("bucket")).join(shared, "k").drop("k")
     members = staged(meeting.join(reps.select("doc_id", "n_words", "bins"), "doc_id"), "members")
@@ -302,20 +362,10 @@ def classes(docs: DataFrame) -> DataFrame:
     tried = staged(candidates(members.filter(F.col("j") % SAMPLES < FIRST_SAMPLES)), "candidates")
     links = staged(verified(tried, texts), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # then pairs of one bucket whose documents are still in different components: a few of each two, at last all
-    for few in (True, False):
-        found = staged(candidates(members, roots, few), "candidates")
-        rest = staged(found.join(tried, ["a", "b"], "left_anti"), "candidates")
-        more = few and found.filter("more").limit(1).count()
-        if rest.isEmpty():
-            if more:
-                continue
-            break
-        links = links.unionAll(staged(verified(rest, texts), "links"))
-        tried = tried.unionAll(rest)
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if not more:
-            break
+    # then the likely pairs of a bucket whose documents are still in different components
+    more = staged(remaining(members, roots, texts.join(reps.select("doc_id", "samples"), "doc_id")), "links")
+    if not more.isEmpty():
+        roots = components(links.unionAll(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = sketch.filter("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return found.unionAll(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id")).withColumn("kept", F.col("doc_id") == F.col("class_id"))

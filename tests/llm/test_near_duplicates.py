@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from granary.llm import embedding_dup, near_dup
-from granary.llm.align import _band, similarity_bound, within
+from granary.llm.align import _band, alike, similarity_bound, within
 from granary.llm.graph import components
 from granary.llm.words import split_words
 
@@ -35,7 +35,7 @@ def test_alignment_is_exact_within_the_band():
         a = [rng.randrange(rng.choice([2, 4, 9])) for _ in range(rng.randint(0, 13))]
         b = edited(rng, a, 0.3, range(9))
         most = rng.randint(0, 6)
-        assert within(a, b, most) == (distance(a, b) <= most)
+        assert within(a, b, most) == alike(np.array(a, int), np.array(b, int), most) == (distance(a, b) <= most)
     long = [rng.randrange(5000) for _ in range(30_000)]
     other = list(long)
     for k in rng.sample(range(30_000), 500):
@@ -142,19 +142,32 @@ def test_the_filter_passes_what_the_bound_allows():
         assert near_dup.likely(*bins).all()
 
 
-def test_all_pairs_are_tried_though_the_first_few_were(spark, monkeypatch):
-    calls = []
-    monkeypatch.setattr(near_dup, "FEW", 1)
-    fake = {None: [(1, 2, False)], True: [(1, 2, True)], False: [(1, 2, False), (1, 3, False)]}
+def test_all_likely_pairs_are_tried(spark, monkeypatch):
+    rng = random.Random(3)
+    line = ["is", "onhe"] * 45
+    rows = []  # texts of a repeated line and some words of their own: pairs below, at and above the bound in one bucket
+    for k in range(150):
+        own = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([8, 14, 22, 23, 30, 40]))]
+        at = rng.randrange(len(own))
+        rows.append((k, " ".join(own[:at] + line + own[at:])))
+    rows += [(200, rows[3][1] + " more"), (201, rows[90][1] + " more words")]
+    want = brute(rows)
+    assert 20 < len(set(want.values())) < 150
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for first, block, words in ((8, 2048, 1 << 20), (0, 2048, 1 << 20), (1, 16, 500)):  # by first partners, without, and in many cells
+        monkeypatch.setattr(near_dup, "FIRST_SAMPLES", first)
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "BLOCK_WORDS", words)
+        assert {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()} == want
 
-    def candidates(members, comp=None, few=False):
-        calls.append(None if comp is None else few)
-        return spark.createDataFrame(fake[calls[-1]], "a long, b long, more boolean").select("a", "b", "more")
 
-    monkeypatch.setattr(near_dup, "candidates", candidates)
-    texts = ["a b c d e f g h i j", "k l m n o p q r s t", "a b c d e f g h i z"]
-    held = near_dup.classes(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"))
-    assert {r.doc_id: r.class_id for r in held.collect()} == {1: 1, 2: 2, 3: 1} and calls == [None, True, False]
+def test_the_kmer_bound_passes_what_the_alignment_does():
+    rng = random.Random(9)
+    for _ in range(300):
+        a = [rng.randrange(rng.choice([3, 50])) for _ in range(rng.randint(1, 40))]
+        b = edited(rng, a, 0.3, range(50)) or [1]
+        x, y = (np.sort(near_dup.labelled(near_dup.windows(np.array(w, np.uint64), near_dup.K))) for w in (a, b))
+        assert near_dup.common(x, y) >= max(len(a), len(b)) - near_dup.K + 1 - near_dup.K * distance(a, b)
 
 
 def test_near_duplicates_of_odd_tables(spark):

@@ -33,26 +33,44 @@ def text_parts(text: Column) -> Column:
 
 
 def visit(parts: Column, turn: Column) -> Column:
-    """Flatten the parts of turn number `turn`: struct of text, plain (unescaped text parts alone) and attachments.
+    """Flatten the parts of turn number `turn`: struct of text, spans and attachments.
 
-    Text parts are escaped in place; any other part becomes the placeholder [PART type t.p] of turn t and part p,
-    counted from 1 in order, and an attachment with that name, its reference and the tokens that it expands to.
+    Text parts that follow each other are one text, joined before it is escaped, so that no control string arises where
+    they meet. Any other part becomes the placeholder [PART type t.p] of turn t and part p, counted from 1 in order,
+    and an attachment with that name, its reference and the tokens that it expands to. spans: start and length of the
+    texts between the placeholders, those that are empty left out beside others.
     """
     defaults = F.create_map(*[F.lit(x) for kv in EXPANDED.items() for x in kv])
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
     name = lambda p, i: F.concat(escape(kind(p)), F.lit(" "), turn.cast("string"), F.lit("."), (i + 1).cast("string"))
-    flat = F.transform(parts, lambda p, i: F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("[PART "), name(p, i), F.lit("]"))))
-    plain = F.transform(F.filter(parts, lambda p: kind(p) == "text"), lambda p: F.coalesce(p["text"], F.lit("")))
-    held = F.transform(parts, lambda p, i: F.struct(kind(p).alias("type"), name(p, i).alias("placeholder"), p["ref"].alias("ref"), F.coalesce(p["tokens"], defaults[kind(p)], F.lit(1)).alias("tokens")))
-    return F.struct(F.concat_ws("", flat).alias("text"), F.concat_ws("", plain).alias("plain"), F.filter(held, lambda a: a["type"] != "text").alias("attachments"))
+    held = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), kind(p).alias("type"), name(p, i).alias("placeholder"), p["ref"].alias("ref"), F.coalesce(p["tokens"], defaults[kind(p)], F.lit(1)).alias("tokens"))), lambda a: a["type"] != "text")
+    texts = F.transform(parts, lambda p: F.coalesce(p["text"], F.lit("")))
+    start = lambda k: F.coalesce(F.get(held, k - 1)["at"] + 1, F.lit(0))
+    stop = lambda k: F.coalesce(F.get(held, k)["at"], F.size(parts))
+    marked = lambda k: F.coalesce(F.concat(F.lit("[PART "), F.get(held, k)["placeholder"], F.lit("]")), F.lit(""))
+    runs = F.transform(F.sequence(F.lit(0), F.size(held)), lambda k: F.struct(escape(F.array_join(F.slice(texts, start(k) + 1, stop(k) - start(k)), "")).alias("text"), marked(k).alias("mark")))
+    return F.struct(runs.alias("runs"), F.transform(held, lambda a: a.dropFields("at")).alias("attachments"))
+
+
+def flattened(content: Column) -> Column:
+    """visit()'s runs as struct of text, spans and attachments."""
+    text = F.array_join(F.transform(content["runs"], lambda r: F.concat(r["text"], r["mark"])), "")
+    none = F.array().cast("array<struct<start:int,length:int,end:int>>")
+    placed = F.aggregate(
+        content["runs"],
+        none,
+        lambda done, r: F.concat(done, F.array(F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)).alias("start"), F.char_length(r["text"]).alias("length"), (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.char_length(r["text"]) + F.char_length(r["mark"])).alias("end")))),
+    )
+    spans = F.transform(F.filter(placed, lambda x, i: (x["length"] > 0) | (F.size(placed) == 1)), lambda x: F.struct(x["start"], x["length"]))
+    return F.struct(text.alias("text"), spans.alias("spans"), content["attachments"].alias("attachments"))
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
     """A row a conversation of turns (conv_id, turn, role, and parts, or else text).
 
     segments: the formatted turns in order, which joined are the formatted text; formatted_chars: their characters;
-    loss: (segment, start, length), the stretch of each learned turn's content in its segment; attachments: the parts
-    that aren't text, in order; expanded_tokens: what these expand to. Turns are ordered by turn, role and content, so
+    loss: (segment, start, length), the stretches of each learned turn's texts in its segment, placeholders not among
+    them; attachments: the parts that aren't text, in order; expanded_tokens: what these expand to. Turns are ordered by turn, role and content, so
     equal turn numbers and repeated rows have a defined place and all stay. Null turns come first. A null role or text
     is empty, null parts are none. A null conv_id is a conversation of its own. Other columns are ignored. A long
     conversation is one row of its text's length; nothing else grows with it.
@@ -60,11 +78,12 @@ def format_chat(turns: DataFrame) -> DataFrame:
     parts = F.coalesce(F.col("parts").cast(PART_TYPE), F.array().cast(PART_TYPE)) if "parts" in turns.columns else text_parts(F.col("text"))
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), parts.alias("parts"))
     held = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), F.col("role"), F.col("parts")))).alias("turns"))
-    seen = held.select("conv_id", F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), visit(t["parts"], i + 1).alias("content"))).alias("turns"))
+    visited = held.select("conv_id", F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), visit(t["parts"], i + 1).alias("content"))).alias("turns"))
+    seen = visited.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), flattened(t["content"]).alias("content"))).alias("turns"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(NAMED))
     segments = F.transform("turns", lambda t: F.concat(head(t), t["content"]["text"], F.lit(CLOSE)))
-    spans = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.struct(i.alias("segment"), F.char_length(head(t)).alias("start"), F.char_length(t["content"]["text"]).alias("length")).alias("span")))
-    learned = F.transform(F.filter(spans, lambda s: s["role"] == LEARNED), lambda s: s["span"])
+    spans = F.transform("turns", lambda t, i: F.transform(t["content"]["spans"], lambda x: F.struct(i.alias("segment"), (F.char_length(head(t)) + x["start"]).alias("start"), x["length"].alias("length"), t["role"].alias("role"))))
+    learned = F.transform(F.filter(F.flatten(spans), lambda x: x["role"] == LEARNED), lambda x: x.dropFields("role"))
     out = seen.select("conv_id", segments.alias("segments"), learned.alias("loss"), F.flatten(F.transform("turns", lambda t: t["content"]["attachments"])).alias("attachments"))
     total = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + F.char_length(s))
     return out.select("conv_id", "segments", total.alias("formatted_chars"), "loss", "attachments", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("expanded_tokens"))

@@ -57,6 +57,20 @@ def test_round_trip(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted(r.doc_id for r in got)
     assert token_output.read_document(folder, manifest, 2).tolist() == [*library.encode("a").ids, 0]
     assert token_output.read_document(folder, manifest, 12345) is None
+    assert token_output.read_manifest(folder) == manifest
+    assert sorted(map(tuple, token_output.read_ids(spark, folder, [{"shard": e["shard"]} for e in manifest]).collect())) == sorted(map(tuple, got)), "starts come from the files"
+
+
+def test_memories_are_bounded_by_bytes():
+    rng = random.Random(6)
+    encode, count = token_output.Encoder(PATH, 0), token_count.Counter(PATH)
+    for _ in range(6):  # texts without spaces, each a word of its own
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) for _ in range(30)] + ["a" * 70 + ".\n" + "b" * 5000 + str(k) for k in range(5)]
+        got = encode(pa.array(texts))
+        assert got[0] == encode.ids(texts[:1])[0] + encode.end and got[-1] == encode.ids(texts[-1:])[0] + encode.end
+        assert count.words(texts[0] + " the the") == count.words(texts[0]) + 2 * count.words("the")
+    for held in (encode.memo, encode.old, encode.tails, encode.lines, count.memo, count.old):
+        assert all(len(w) <= 64 for w in held)
 
 
 def test_no_documents(spark):
@@ -131,6 +145,18 @@ def test_chat_parts(spark):
     assert r.segments[m.segment][m.start : m.start + m.length] == "ok" and len(r.segments) == 3
 
 
+def test_control_strings_can_not_be_forged_across_parts(spark):
+    part = lambda kind, text=None, ref=None, tokens=None: (kind, text, ref, tokens)
+    cut = [part("text", x) for x in ("[", "PART image 9.9]", "<", "", "/s>", "<s>[IN", "ST] user [/INS", None, "T]", "\\", "[", "\\/INST]")]
+    whole = "".join(p[1] or "" for p in cut)
+    rows = [(1, 0, "user", cut), (1, 1, "assistant", [*cut, part("image", ref="a.png"), *cut, part("audio"), part("document")]), (1, 2, "assistant", [part("text", "")])]
+    held = chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PART_TYPE}"))
+    r, read = held.first(), held.select(chat.read_turns(F.col("segments")).alias("turns"), chat.read_loss(F.col("segments"), F.col("loss")).alias("loss")).first()
+    text = "".join(r.segments)
+    assert text.count("</s>") == text.count("[/INST]") == 3 and text.count("[PART ") == 3 == len(r.attachments)
+    assert read.turns[0].text == whole and read.loss == [whole, whole, ""], "placeholders aren't learned"
+
+
 def greedy(word: bytes, vocabulary: set[bytes]) -> int:
     at = n = 0
     while at < len(word):

@@ -45,6 +45,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if base.startswith("file:/") and not base.startswith("file://"):  # as Hadoop writes it
@@ -62,6 +64,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df's rows as the struct `row`, beside the columns named: whatever names df has, none can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def free_name(columns: list[str], stem: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def apart(key: str | Column) -> Column:
     """The same string key, as an expression that Catalyst can't trace to its source.
 

@@ -11,14 +11,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import crc_mod, small_batches, table
+from granary.llm.common import crc_mod, small_batches, staged, table
 
 #: Bytes of a language's dictionary, and of all together where there are many languages.
 DICTIONARY_BYTES = 128 << 10
 ALL_BYTES = 64 << 20
 #: Documents a language's dictionary is made of, at most; those of the least id hashes, none over a quarter of it.
 SAMPLE_DOCS = 400
-PARTS = 16
 #: Bytes that are encoded at once, so that what a long text repeats of itself doesn't hide the dictionary's part.
 BLOCK = 8 << 10
 LEVEL = 8
@@ -65,30 +64,67 @@ class Model:
         return sizes[0][1], score, score >= MARGIN
 
 
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows (lang, far, near, doc_id, hash, size) the first SAMPLE_DOCS documents of each language."""
+    held: dict[str, dict[int, tuple]] = {}
+    for batch in batches:
+        for lang, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            own, key = held.setdefault(lang, {}), row[2]
+            if key not in own or tuple(row) < own[key]:
+                own[key] = tuple(row)
+        for lang, own in held.items():
+            if len(own) > 2 * SAMPLE_DOCS:
+                held[lang] = {r[2]: r for r in sorted(own.values())[:SAMPLE_DOCS]}
+    rows = [(lang, *r) for lang, own in held.items() for r in sorted(own.values())[:SAMPLE_DOCS]]
+    if rows:
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lang", "far", "near", "doc_id", "hash", "size"])
+
+
+def spread_out(text: bytes, most: int, pieces: int = 8) -> bytes:
+    """A text, or pieces spread evenly over it that have `most` bytes together."""
+    if len(text) <= most:
+        return text
+    size = most // pieces
+    return b" ".join(text[at : at + size - 1] for at in ((len(text) - size) * k // (pieces - 1) for k in range(pieces)))
+
+
 def learn(docs: DataFrame) -> Model:
-    """Dictionaries from docs (doc_id, text, lang): per language the documents of the least id hashes, whole.
+    """Dictionaries from docs (doc_id, text, lang): per language the documents of the least id hashes.
 
-    Null and empty texts and null languages teach nothing. Only ids are ranked; the texts of the chosen ones, at most
-    SAMPLE_DOCS a language and together at most ALL_BYTES, come to the driver.
+    Texts of up to a quarter of DICTIONARY_BYTES come first, and are taken whole; of longer ones pieces spread over the
+    text are. Null ids, null and empty texts and null languages teach nothing. Rows that share an id count as one, the
+    text of the least hash. Each task keeps SAMPLE_DOCS documents a language, so that no language meets in one task;
+    the driver gets the texts of the chosen ones, at most SAMPLE_DOCS a language, each up to DICTIONARY_BYTES, and the
+    dictionaries have ALL_BYTES together at most.
     """
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang is not null and length(text) > 0")
-    far, near = F.octet_length("text") > DICTIONARY_BYTES // 4, F.xxhash64("doc_id")
-    held = rows.select("lang", "doc_id", far.alias("far"), near.alias("near"), F.least(F.octet_length("text"), F.lit(DICTIONARY_BYTES)).alias("size"))
-    # a language's best are found in parts first, so that a common one isn't ranked in one task
-    part = Window.partitionBy("lang", F.pmod("near", F.lit(PARTS))).orderBy("far", "near", "doc_id")
-    best = held.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= SAMPLE_DOCS)
-    ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("far", "near", "doc_id"))).filter(F.col("place") <= SAMPLE_DOCS)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null and length(text) > 0")
+    far, size = F.octet_length("text") > DICTIONARY_BYTES // 4, F.least(F.octet_length("text"), F.lit(DICTIONARY_BYTES))
+    ranks = rows.select("lang", far.alias("far"), F.xxhash64("doc_id").alias("near"), "doc_id", F.xxhash64("text").alias("hash"), size.cast("long").alias("size"))
+    order = ["far", "near", "doc_id", "hash"]
+    best = staged(ranks.mapInArrow(_best, ranks.schema), "best")
+    one = best.groupBy("lang", "doc_id").agg(F.min(F.struct(*order, "size")).alias("r")).select("lang", "r.*")
+    ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= SAMPLE_DOCS)
     total = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = ranked.select("lang", "place", "size", "doc_id").withColumn("before", F.coalesce(F.sum("size").over(total), F.lit(0))).filter(F.col("before") < DICTIONARY_BYTES).select("lang", "place", "doc_id").collect()
+    chosen = ranked.withColumn("before", F.coalesce(F.sum("size").over(total), F.lit(0))).filter(F.col("before") < DICTIONARY_BYTES).select("lang", "place", "doc_id", "hash").collect()
     languages = sorted({r.lang for r in chosen})
     if not languages:
         return Model({})
     each = min(DICTIONARY_BYTES, ALL_BYTES // len(languages))
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.lang, r.place) for r in chosen], "doc_id long, lang string, place int")
-    texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.join(F.broadcast(wanted), ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect():
-        texts.setdefault(r.lang, []).append((r.place, r.text))
-    return Model({lang: b" ".join(folded(t) for _, t in sorted(held))[:each] for lang, held in texts.items()})
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.lang, r.hash, r.place) for r in chosen], "doc_id long, lang string, hash long, place int")
+    held = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "lang", "hash"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([spread_out(folded(t), DICTIONARY_BYTES) for t in batch.column(2).to_pylist()], pa.binary())], ["lang", "place", "content"])
+
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    folds = held.select("lang", "place", "text").mapInArrow(fold, "lang string, place int, content binary")
+    for r in folds.groupBy("lang", "place").agg(F.min("content").alias("content")).collect():  # a row a chosen document
+        texts.setdefault(r.lang, []).append((r.place, bytes(r.content)))
+    return Model({lang: spread_out(b" ".join(t for _, t in sorted(held)), each) for lang, held in texts.items()})
 
 
 def identify(docs: DataFrame, model: Model, *, reject: bool = False) -> DataFrame:

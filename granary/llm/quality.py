@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import crc_mod, small_batches, table
+from granary.llm.common import crc_mod, small_batches, staged, table
 from granary.llm.words import Words, split_words
 
 #: Labelled documents that the classifier is fitted on, at most: those of the least id hashes.
 SAMPLE_DOCS = 6000
+#: Bytes that their texts have together, at most; the one that passes it is the last.
+SAMPLE_BYTES = 64 << 20
 #: Byte n-grams of 1 and 2 have places of their own; those of 3 and 4 share 2**HASHED.
 HASHED = 17
 #: Word n-grams of one word over and over: a place for each of these lengths, several so that their weight suffices.
@@ -156,15 +158,25 @@ def fit(texts: list[str], labels: list[int]) -> Fitted:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Fitted:
-    """Fit on at most SAMPLE_DOCS labelled documents, those of the least id hashes. A repeated label counts as its largest."""
+    """Fit on at most SAMPLE_DOCS labelled documents and about SAMPLE_BYTES, those of the least id hashes.
+
+    Of repeated labels the largest counts, of documents that share an id the text of the least hash; so the driver gets
+    a row an id, whatever is repeated. Null ids and null labels teach nothing, a null text is an empty one.
+    """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
     if not chosen:
         return fit([], [])
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in chosen], "doc_id long, quality int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [int(r.quality > 0) for r in rows])
+    wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.quality, k) for k, r in enumerate(chosen)], "doc_id long, quality int, place int")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    held = staged(rows.groupBy("place", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")), "labelled")
+    total, last = 0, -1
+    for r in held.select("place", F.octet_length("text").alias("size")).orderBy("place").collect():
+        last, total = r.place, total + r.size
+        if total >= SAMPLE_BYTES:
+            break
+    sample = held.filter(F.col("place") <= last).orderBy("place").collect()
+    return fit([r.text for r in sample], [int(r.quality > 0) for r in sample])
 
 
 def classify(docs: DataFrame, model: Fitted) -> DataFrame:

@@ -16,6 +16,8 @@ from granary.llm.common import small_batches, table
 
 #: Remembered words of a worker, in two generations.
 MEMO_WORDS = 400_000
+#: The longest word that is remembered, in characters.
+WORD_MOST = 64
 
 
 class Automaton:
@@ -98,6 +100,7 @@ class Counter:
         """Pieces of a text: its words are what white space parts, each with a space before it."""
         words = text.split()
         new = set(words).difference(self.memo)
+        long: dict[str, int] = {}
         if new:
             if len(self.memo) > MEMO_WORDS // 2:
                 self.old, self.memo = self.memo, {}
@@ -105,7 +108,9 @@ class Counter:
             old, count = self.old, self.automaton.count
             for w in new:
                 n = old.get(w)
-                self.memo[w] = count(b" " + w.encode()) if n is None else n
+                (self.memo if len(w) <= WORD_MOST else long)[w] = count(b" " + w.encode()) if n is None else n
+        if long:
+            return sum(long[w] if w in long else self.memo[w] for w in words)
         return sum(map(self.memo.__getitem__, words))
 
 

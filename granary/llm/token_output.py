@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -15,16 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import small_batches, table, work_dir
-from granary.llm.seekable import Reader, Writer
+from granary.llm.seekable import Reader, Writer, open_fs
 
 #: Remembered words of a worker, in two generations: a full young one becomes the old one, whose words come back when used.
 MEMO_WORDS = 800_000
+#: Bytes that the remembered words and ids have, and the longest word that is remembered, in characters.
+MEMO_BYTES, WORD_MOST = 96 << 20, 64
 #: Rows and bytes of a batch: in a larger one fewer words are met again; and texts whose ids are gathered at once.
 ENCODED_ROWS, ENCODED_BYTES, GATHERED = 4096, 10 << 20, 128
 #: Unknown words that go to the library together.
 JOINED_WORDS = 4000
 #: Punctuation that, after letters, is a piece of its own. The apostrophe isn't among it: it may begin a contraction.
 TAIL = ".,;:!?*#$%&|()[]{}\"-_/+=<>@^`~\\"
+MANIFEST = "manifest.json"
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -57,6 +61,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}  # letters that follow a line's end, with it
+        self.held = 0  # bytes in memo
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
         self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -115,7 +120,7 @@ class Encoder:
         missing = [c for c, ids in cores.items() if ids is None]
         cores.update(zip(missing, self.of_pieces(SPACE, [], missing)))
         for held in (self.tails, self.lines):
-            if len(held) > MEMO_WORDS // 4:
+            if len(held) > MEMO_WORDS // 4 or sum(map(len, held)) > MEMO_BYTES // 8:
                 held.clear()
         if new := list(tails - self.tails.keys()):
             self.tails.update(zip(new, self.ids(new)))
@@ -128,14 +133,19 @@ class Encoder:
             ids = np.frombuffer(self.ids([" " + " ".join(some)])[0], "<u4")
             for k, x in zip(others[at:], self.parted(ids, [len(w.encode()) + 1 for w in some])):
                 out[k] = x
-        self.memo.update(cores)
-        self.memo.update(zip(words, out))
+        for some in (cores.items(), zip(words, out)):
+            kept = {w: ids for w, ids in some if len(w) <= WORD_MOST}
+            self.memo.update(kept)
+            self.held += sum(map(len, kept)) + sum(map(len, kept.values()))
+        for held in (self.tails, self.lines):
+            for w in [w for w in held if len(w) > WORD_MOST]:
+                del held[w]
         return out
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_WORDS // 2:
-            self.old, self.memo = self.memo, {}
+        if len(self.memo) > MEMO_WORDS // 2 or self.held > MEMO_BYTES // 2:
+            self.old, self.memo, self.held = self.memo, {}, 0
         split = pc.split_pattern(texts, " ")
         bounds = split.offsets.to_numpy()
         bounds = (bounds - bounds[0]).astype(np.int64)
@@ -216,19 +226,33 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
         if writer is not None:
             held = np.concatenate(ids)
             writer.close(held.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(held), "n_tokens": total}], schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(held), total, held[0], held[-1])], ["shard", "n_docs", "n_tokens", "first", "last"])
 
-    found = ranged.mapInArrow(run, "shard long, n_docs long, n_tokens long").collect()  # a row a shard
+    found = ranged.mapInArrow(run, "shard long, n_docs long, n_tokens long, first long, last long").collect()  # a row a shard
     start, manifest = 0, []
     for r in sorted(found, key=lambda r: r.shard):
-        manifest.append({"shard": r.shard, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "start": start})
+        manifest.append({**r.asDict(), "start": start})
         start += r.n_tokens
+    fs, path = open_fs(folder)
+    fs.create_dir(path, recursive=True)
+    with fs.open_output_stream(f"{path}/{MANIFEST}") as out:
+        out.write(json.dumps(manifest).encode())
     return manifest
 
 
+def read_manifest(folder: str) -> list[dict]:
+    """The shards of a folder, as write_ids left them there: number, documents, ids, first and last doc_id, start."""
+    fs, path = open_fs(folder)
+    with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
 def read_document(folder: str, manifest: list[dict], doc_id: int) -> np.ndarray | None:
-    """The ids of one document, from the frames of its own alone; None if it isn't there."""
+    """The ids of one document, from the frames of its own alone; None if it isn't there. Only shards whose range holds
+    the doc_id are opened."""
     for entry in manifest:
+        if not entry["first"] <= doc_id <= entry["last"]:
+            continue
         reader = Reader(shard_uri(folder, entry["shard"]))
         try:
             held = np.frombuffer(reader.index, "<i8")
@@ -240,9 +264,20 @@ def read_document(folder: str, manifest: list[dict], doc_id: int) -> np.ndarray
     return None
 
 
-def read_ids(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """What the shards hold, a row a document: doc_id, start, n_tokens, ids_crc32."""
+def read_ids(spark: SparkSession, folder: str, manifest: list[dict] | None = None) -> DataFrame:
+    """What the shards hold, a row a document: doc_id, start, n_tokens, ids_crc32. All of it comes from the files: where
+    a shard starts, too, from the sizes in the seek tables of those before it."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    shards = [e["shard"] for e in (read_manifest(folder) if manifest is None else manifest)]
+    listed = lambda tasks, columns: spark.createDataFrame(spark.sparkContext.parallelize(tasks, max(1, min(len(tasks), 10_000))), columns)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                reader = Reader(shard_uri(folder, shard))
+                total = int(reader.entries["size"].sum(dtype=np.int64)) // 4
+                reader.close()
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([total], pa.int64())], ["shard", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +294,12 @@ def read_ids(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
-    tasks = [(e["shard"], e["start"]) for e in manifest]
-    listed = spark.createDataFrame(spark.sparkContext.parallelize(tasks, max(1, min(len(tasks), 10_000))), "shard long, start long")
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = {r.shard: r.n_tokens for r in listed([(s,) for s in shards], "shard long").mapInArrow(sizes, "shard long, n_tokens long").collect()} if shards else {}  # a row a shard
+    tasks, start = [], 0
+    for shard in sorted(shards):
+        tasks.append((shard, start))
+        start += found[shard]
+    return listed(tasks, "shard long, start long").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

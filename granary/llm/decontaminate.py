@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,54 +13,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import small_batches, table
-from granary.llm.words import Words, split_words, windows
+from granary.llm.common import free_name, small_batches, staged, table
+from granary.llm.words import LOWER, Words, split_words, windows
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of item texts that one broadcast may hold; larger test sets are dealt into several.
+#: Bytes of item texts that one broadcast may hold; its index has some ten times as many in memory. Larger test sets
+#: are dealt into several, of which one at a time is held.
 BROADCAST_BYTES = 32 << 20
 
 
 @dataclass
 class Index:
+    """Windows of the items as arrays: some 40 bytes a window beside the items' texts."""
+
     names: list[str | None]  # item ids as text
-    exact: dict[int, dict[bytes, tuple[int, ...]]]  # by window length: its words, space-joined, to item numbers
+    words: Words  # of the items
+    places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by window length: hashes, sorted; items; first words
 
-    def sieves(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By window length a bitmap over the low bits of the hashes, and the sorted hashes."""
+    @cached_property
+    def sieves(self) -> dict[int, np.ndarray]:
+        """By window length a bitmap over the low bits of the hashes; a worker makes it once."""
         out = {}
-        for length, held in self.exact.items():
-            joined = split_words(pa.array([k.decode() for k in held]))
-            hashes = np.unique(windows(joined.hashes, length)[::length])
+        for length, (hashes, _, _) in self.places.items():
             bits = max(16, int(len(hashes) * 32 - 1).bit_length())
-            bitmap = np.zeros(1 << min(bits, 26), bool)
-            bitmap[hashes & np.uint64(len(bitmap) - 1)] = True
-            out[length] = bitmap, hashes
+            out[length] = np.zeros(1 << min(bits, 26), bool)
+            out[length][hashes & np.uint64(len(out[length]) - 1)] = True
         return out
 
+    def __getstate__(self):
+        return {"names": self.names, "words": self.words, "places": self.places}
+
+    def window(self, place: int, length: int) -> list[bytes]:
+        return [LOWER[self.words.data[s:e]].tobytes() for s, e in zip(self.words.starts[place : place + length].tolist(), self.words.ends[place : place + length].tolist())]
+
+    def holders(self, length: int, value: int, own: list[bytes]) -> set[int]:
+        """The items with the window `own`, whose hash is `value`; each is verified word by word."""
+        hashes, items, first = self.places[length]
+        lo, hi = np.searchsorted(hashes, value), np.searchsorted(hashes, value, "right")
+        return {k for k, at in zip(items[lo:hi].tolist(), first[lo:hi].tolist()) if self.window(at, length) == own}
+
 
 def index_items(items: list[tuple[str | None, str]], window: int = WINDOW) -> Index:
     """Windows of `window` words of each item; an item of fewer words, but not none, is one window."""
-    names = [name for name, _ in items]
     words = split_words(pa.array([text for _, text in items], pa.string()))
-    exact: dict[int, dict[bytes, set[int]]] = {}
-    for k in range(len(items)):
-        held = words.words(k)
-        length = min(window, len(held))
-        for i in range(len(held) - length + 1 if held else 0):
-            exact.setdefault(length, {}).setdefault(b" ".join(held[i : i + length]), set()).add(k)
-    return Index(names, {n: {w: tuple(sorted(ks)) for w, ks in held.items()} for n, held in exact.items()})
-
-
-def scan(words: Words, index: Index, sieves: dict) -> tuple[np.ndarray, dict[int, set[int]]]:
+    sizes = np.diff(words.offsets)
+    lengths = np.minimum(window, sizes)
+    places = {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        own = np.flatnonzero(lengths == length)
+        count = sizes[own] - length + 1
+        held = np.repeat(own, count)
+        first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + words.offsets[held]
+        hashes = windows(words.hashes, length)[first]
+        order = np.lexsort((first, hashes))
+        hashes, held, first = hashes[order], held[order], first[order]
+        once = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (held[1:] != held[:-1])])  # an item may repeat a window
+        if not once.all():
+            same = [k for k in np.flatnonzero(~once).tolist()]
+            once[same] = [Index([], words, {}).window(int(first[k]), length) != Index([], words, {}).window(int(first[k - 1]), length) for k in same]
+        places[length] = hashes[once], held[once].astype(np.int32), first[once]
+    return Index([name for name, _ in items], words, places)
+
+
+def scan(words: Words, index: Index) -> tuple[np.ndarray, dict[int, set[int]]]:
     """Which words of the batch lie in an occurring window, and by text the numbers of the items that occur."""
     hit = np.zeros(len(words.hashes) + 1, np.int32)
     found: dict[int, set[int]] = {}
-    for length, (bitmap, hashes) in sieves.items():
+    known: dict[tuple, set[int]] = {}
+    for length, bitmap in index.sieves.items():
         run = windows(words.hashes, length)
         if not len(run):
             continue
+        hashes = index.places[length][0]
         maybe = np.flatnonzero(bitmap[run & np.uint64(len(bitmap) - 1)])
         at = np.searchsorted(hashes, run[maybe])
         maybe = maybe[hashes[np.minimum(at, len(hashes) - 1)] == run[maybe]]
@@ -69,7 +95,11 @@ def scan(words: Words, index: Index, sieves: dict) -> tuple[np.ndarray, dict[int
         for i, k in zip(maybe[inside].tolist(), text[inside].tolist()):
             if k != held_k:
                 held_k, held, base = k, words.words(k), int(words.offsets[k])
-            if items := index.exact[length].get(b" ".join(held[i - base : i - base + length])):
+            own = held[i - base : i - base + length]
+            key = tuple(own)
+            if key not in known:
+                known[key] = index.holders(length, run[i], own)
+            if items := known[key]:
                 hit[i] += 1
                 hit[i + length] -= 1
                 found.setdefault(k, set()).update(items)
@@ -94,7 +124,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, remove:
     Null and empty texts have no words and no hits. Repeated rows are judged alike, each by itself. An empty
     benchmark hits nothing. An item with a null id hits words, but isn't listed. Repeated item ids count once.
     Of the benchmark only item_id and text are read. A benchmark over `bound` bytes is dealt into parts that are
-    broadcast and scanned one after the other; the hit words of all parts are united.
+    broadcast and scanned one after the other: what a part hits is written to the shared folder, and its broadcast
+    given up, before the next is made. The hit words of all parts are united. Columns of docs may have any names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -103,27 +134,30 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, remove:
     out = base
     names = list(base.columns)
     where = names.index("text")
+    hits = free_name(names, "hits")
+    items = free_name([*names, hits], "items")
     for number, part in enumerate(parts):
-        held = spark.sparkContext.broadcast(index_items([tuple(r) for r in part.collect()], window))  # at most about `bound` bytes
+        held = spark.sparkContext.broadcast(index_items([tuple(r) for r in part.collect()], window))  # of about `bound` bytes of text
         last = number == len(parts) - 1
         if not last:
-            schema = T.StructType([*base.schema.fields, T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
+            schema = T.StructType([*base.schema.fields, T.StructField(hits, T.BinaryType()), T.StructField(items, T.ArrayType(T.StringType()))])
         else:
             schema = base.schema if remove else "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-        out = out.mapInArrow(_scanner(held, len(names), where, number, last, remove, names), schema)
+        out = out.mapInArrow(_scanner(held, len(names), where, number, last, remove, [*names, hits, items]), schema)
+        if not last:
+            out = staged(out, "hits")
+            held.unpersist()
     return out
 
 
 def _scanner(held, width: int, where: int, number: int, last: bool, remove: str | None, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sieves = held.value, None
+        index = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if sieves is None:
-                sieves = index.sieves()
             words = split_words(batch.column(where))
-            hit, found = scan(words, index, sieves)
+            hit, found = scan(words, index)
             items = [{index.names[i] for i in found.get(k, ())} - {None} for k in range(batch.num_rows)]
             if number:  # unite with the parts before
                 bits = b"".join(batch.column(width).to_pylist())
@@ -137,9 +171,9 @@ def _scanner(held, width: int, where: int, number: int, last: bool, remove: str
             own = [batch.column(j) for j in range(width)]
             if not last:
                 packed = [np.packbits(hit[a:b]).tobytes() for a, b in zip(words.offsets, words.offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, "_hits", "_items"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names)
             elif remove == "documents":
-                keep = pa.RecordBatch.from_arrays(own, names).filter(pa.array(n_hit == 0))
+                keep = pa.RecordBatch.from_arrays(own, names[:width]).filter(pa.array(n_hit == 0))
                 if keep.num_rows:
                     yield keep
             elif remove == "spans":
@@ -151,7 +185,7 @@ def _scanner(held, width: int, where: int, number: int, last: bool, remove: str
                     j = names.index("n_chars")
                     old = own[j].to_pylist()
                     own[j] = pa.array([len(texts[k]) if n_hit[k] else old[k] for k in range(len(old))], own[j].type)
-                yield pa.RecordBatch.from_arrays(own, names)
+                yield pa.RecordBatch.from_arrays(own, names[:width])
             else:
                 digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(words.offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ BLOCK = 2048
 VALID = "label is not null and embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=64)
 def rotation(size: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([seed, size]).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
@@ -164,6 +165,15 @@ def _link():
         v = pa.array(np.concatenate([ids[who], ids[root[tied]]]), mask=np.arange(len(u)) < len(who))
         return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(np.concatenate([gained[who].astype(np.int64), np.zeros(len(tied), np.int64)]))], ["u", "v", "links"])
 
+    def of_kinds(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """A cell's rows by kind: hashes of different kinds may be one bucket."""
+        for kind in t["kind"].unique():
+            own = t if len(t["kind"].unique()) == 1 else t.filter(pc.equal(t["kind"], kind))
+            for j in own["j"].unique():
+                some = own if len(own["j"].unique()) == 1 else own.filter(pc.equal(own["j"], j))
+                if len(some) > 1 and (out := group(some.combine_chunks())) is not None:
+                    yield out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -173,12 +183,11 @@ def _link():
             edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
             at = 0
             for stop in edge.tolist():
-                if stop - at > 1 and (out := group(rest.slice(at, stop - at))) is not None:
-                    yield out
+                yield from of_kinds(rest.slice(at, stop - at))
                 at = stop
             rest = rest.slice(at).combine_chunks()
-        if rest is not None and len(rest) > 1 and (out := group(rest)) is not None:
-            yield out
+        if rest is not None:
+            yield from of_kinds(rest)
 
     return run
 
@@ -209,8 +218,8 @@ def link(embeddings: DataFrame) -> DataFrame:
     placed = reps.select("vec_id", "digest", F.posexplode("keys").alias("j", "key"), "kind").select("vec_id", "digest", "j", F.xxhash64("kind", "j", "key").alias("bucket"))
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
     shared = placed.withColumn("k", F.col("bucket")).join(counts, "k").drop("k")
-    full = shared.join(reps.select("digest", "vector", "code", "factor", "keys", "copies"), "digest")
-    out = staged(spread(full, BLOCK, ["vec_id", "j", "vector", "code", "factor", "keys", "copies"], "vec_id").mapInArrow(_link(), "u long, v long, links long"), "links")
+    full = shared.join(reps.select("digest", "kind", "vector", "code", "factor", "keys", "copies"), "digest")
+    out = staged(spread(full, BLOCK, ["vec_id", "j", "kind", "vector", "code", "factor", "keys", "copies"], "vec_id").mapInArrow(_link(), "u long, v long, links long"), "links")
     roots = components(out.filter("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     direct = out.filter("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     stats = staged(direct.join(roots, "rep", "full"), "stats")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import apart, staged, table
+from granary.llm.common import apart, packed, staged, table
 
 #: A marginal's target shares are the shares of its tokens to this power, made to sum to one.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
@@ -48,22 +48,58 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"__mix_{c}": held(c) for c in POWERS} | {"__mix_tokens": tokens_of(F.col("text"))})
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], powers: list[float], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the cells after `rounds` rounds of fitting each marginal's shares in turn; they sum to the tokens."""
+def marginal_targets(own: dict[str, float], power: float, wanted: dict[str, float] | None = None) -> dict[str, float]:
+    """The shares that a marginal's values are to have: those wanted, else the shares of `own` tokens to `power`.
+
+    Wanted shares are scaled to sum to one over the values that have tokens; values that aren't named get none.
+    """
+    share = {k: wanted.get(k, 0.0) for k in own} if wanted is not None else {k: v**power for k, v in own.items()}
+    whole = sum(share.values())
+    if whole <= 0:
+        raise ValueError("no value with a wanted share has tokens")
+    return {k: v / whole for k, v in share.items()}
+
+
+def rake(tokens: np.ndarray, codes: list[np.ndarray], powers: list[float], rounds: int = ROUNDS, shares: list[np.ndarray | None] | None = None) -> np.ndarray:
+    """Weights of the cells after `rounds` rounds of fitting each marginal's shares in turn, or less where a round
+    changes no weight by over 1e-12 of it; they sum to the tokens. shares, where given, replace those of the powers."""
     total = tokens.sum()
     targets = []
-    for code, power in zip(codes, powers):
+    for k, (code, power) in enumerate(zip(codes, powers)):
         own = np.bincount(code, tokens)
-        share = np.where(own > 0, own, 1) ** power * (own > 0)
+        share = np.where(own > 0, own, 1) ** power * (own > 0) if shares is None or shares[k] is None else shares[k]
         targets.append(share / share.sum() * total)
     weight = tokens.astype(np.float64)
     for _ in range(rounds):
+        before = weight
         for code, target in zip(codes, targets):
             own = np.bincount(code, weight)
             weight = weight * (target / np.where(own > 0, own, 1))[code]
+        if (np.abs(weight - before) <= 1e-12 * before).all():
+            break
     return weight
 
 
+def gap(weight: np.ndarray, codes: list[np.ndarray], shares: list[np.ndarray | None]) -> float:
+    """The largest difference between a value's share of the weights and the one wanted."""
+    found = [np.abs(np.bincount(c, weight, len(s)) / max(weight.sum(), 1e-300) - s / s.sum()).max() for c, s in zip(codes, shares) if s is not None]
+    return max(found, default=0.0)
+
+
+def filled(ratio: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
+    """Probabilities in proportion to ratio whose expected tokens are `budget`: cells that would pass one are kept
+    whole, and the others share what is left. All ones where the budget is no less than the tokens."""
+    whole = np.zeros(len(ratio), bool)
+    while True:
+        rest = budget - tokens[whole].sum()
+        part = (ratio * tokens)[~whole].sum()
+        scale = rest / part if part > 0 else 0.0
+        over = ~whole & (ratio * scale >= 1) & (ratio > 0)
+        if not over.any():
+            return np.where(whole, 1.0, np.clip(ratio * scale, 0.0, 1.0))
+        whole |= over
+
+
 def rake_table(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """The same for cells that are too many for the driver: each fitting is an aggregate and a join."""
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -83,24 +119,44 @@ def rake_table(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return now
 
 
-def calibrated(docs: DataFrame, *, cells_on_driver: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
+def calibrated(
+    docs: DataFrame, *, cells_on_driver: int = CELLS, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, tokens: str | None = None, budget: float | None = None, tolerance: float = 0.01
+) -> DataFrame:
     """docs with __mix_probability: of its cell, the raked weight over the tokens, so scaled that the largest is one.
 
-    Documents without tokens have probability one: they weigh nothing in any mixture.
+    targets: wanted shares by marginal and value, as {"lang": {"en": 0.7, "de": 0.3}}; other marginals follow POWERS.
+    If the weights miss a wanted share by over `tolerance` after all rounds, the targets contradict each other, and
+    that is an error. tokens: a column of token counts, else words are counted. budget: the tokens that the sample is to
+    have; then cells that reach probability one are kept whole and the others scaled up, so that no small cell sets the
+    rate of all. Both need their cells on the driver. Documents without tokens have probability one: they weigh nothing
+    in any mixture.
     """
     keys = [f"__mix_{c}" for c in POWERS]
     rows = with_cells(docs)
+    if tokens is not None:
+        rows = rows.withColumn("__mix_tokens", F.coalesce(F.col(tokens).cast("long"), F.lit(0)))
     cells = staged(rows.filter("__mix_tokens > 0").groupBy(*keys).agg(F.sum("__mix_tokens").alias("tokens")), "cells")
     n = cells.count()
     if n <= cells_on_driver:
         held = cells.orderBy(*keys).collect()  # at most cells_on_driver rows
         if not held:
             return rows.withColumn("__mix_probability", F.lit(1.0))
-        tokens = np.array([r.tokens for r in held], np.float64)
-        codes = [np.unique([r[k] for r in held], return_inverse=True)[1] for k in keys]
-        ratio = rake(tokens, codes, list(POWERS.values()), rounds) / tokens
-        found = docs.sparkSession.createDataFrame([(*(r[k] for k in keys), float(p)) for r, p in zip(held, ratio / ratio.max())], ", ".join(f"{k} string" for k in keys) + ", __mix_probability double")
+        counts = np.array([r.tokens for r in held], np.float64)
+        names, codes = zip(*(np.unique([r[k] for r in held], return_inverse=True) for k in keys))
+        shares: list[np.ndarray | None] = []
+        for c, values, code in zip(POWERS, names, codes):
+            wanted = (targets or {}).get(c)
+            own = dict(zip(values.tolist(), np.bincount(code, counts).tolist()))
+            shares.append(np.array([marginal_targets(own, POWERS[c], wanted)[v] for v in values.tolist()]) if wanted is not None else None)
+        weight = rake(counts, list(codes), list(POWERS.values()), rounds, shares)
+        if (missed := gap(weight, list(codes), shares)) > tolerance:
+            raise ValueError(f"the targets can't be met together: a share is missed by {missed:.3f}")
+        ratio = weight / counts
+        probability = ratio / ratio.max() if budget is None else filled(ratio, counts, budget)
+        found = docs.sparkSession.createDataFrame([(*(r[k] for k in keys), float(p)) for r, p in zip(held, probability)], ", ".join(f"{k} string" for k in keys) + ", __mix_probability double")
         joined = rows.join(F.broadcast(found), keys, "left")
+    elif targets or budget is not None:
+        raise ValueError(f"targets and budgets need at most {cells_on_driver} cells, here are {n}")
     else:
         raked = rake_table(cells, rounds).withColumn("ratio", F.col("weight") / F.col("tokens"))
         most = raked.agg(F.max("ratio")).first()[0]
@@ -109,14 +165,15 @@ def calibrated(docs: DataFrame, *, cells_on_driver: int = CELLS, rounds: int = R
     return joined.withColumn("__mix_probability", F.when(F.col("__mix_tokens") == 0, 1.0).otherwise(F.col("__mix_probability")))
 
 
-def sample(docs: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of docs whose id's share lies below their probability; columns as they were.
+def sample(docs: DataFrame, *, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None, tokens: str | None = None, budget: float | None = None) -> DataFrame:
+    """The rows of docs whose id's share lies below their probability; columns as they were, whatever their names.
 
     The choice depends on the id and the marginals alone, so repeated rows stay or go together and a retried task
     chooses alike. Null sources, languages and topics are a value of their own, `unknown`. Without a topic column the
-    topic is the text's form. No rows give no rows.
+    topic is the text's form. No rows give no rows. targets, tokens and budget are calibrated()'s.
     """
-    return calibrated(docs, rounds=rounds).filter(share_of("doc_id") < F.col("__mix_probability")).select(*docs.columns)
+    needed = {c: F.col(c) for c in ("text", "doc_id", *POWERS, tokens) if c and c in docs.columns}
+    return calibrated(packed(docs, **needed), rounds=rounds, targets=targets, tokens=tokens, budget=budget).filter(share_of("doc_id") < F.col("__mix_probability")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

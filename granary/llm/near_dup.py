@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.align import alike, similarity_bound
 from granary.llm.blocks import spread
-from granary.llm.common import apart, apart_long, small_batches, staged, table
+from granary.llm.common import apart, apart_long, packed, small_batches, staged, table
 from granary.llm.graph import components
 from granary.llm.words import U, mix, split_words, weights, windows
 
@@ -376,10 +376,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows with a null id stay. Columns are those of docs.
     """
-    gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__dedup_gone"))
-    same = docs.join(gone, F.col("doc_id") == F.col("__dedup_gone"), "left_anti").filter("doc_id is not null")
-    one = same.withColumn("__dedup_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__dedup_row = 1")
-    return one.select(*docs.columns).unionAll(docs.filter("doc_id is null"))
+    gone = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    rows = packed(docs.filter("doc_id is not null"), id=F.col("doc_id").cast("long"), hash=F.xxhash64("text"))
+    same = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    one = same.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).filter("place = 1")
+    return one.select("row.*").unionAll(docs.filter("doc_id is null"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

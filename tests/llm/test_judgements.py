@@ -165,3 +165,119 @@ def test_mixing(spark):
     assert mixing.sample(docs.drop("topic", "lang")).count() > 0
     twice = mixing.sample(docs.unionAll(docs))
     assert twice.groupBy("doc_id").count().filter(F.col("count") != 2).count() == 0
+
+
+def test_mixing_meets_given_targets(spark):
+    rng = random.Random(4)
+    rows = [(k, "w " * rng.randint(5, 40), rng.choice("abc"), rng.choice(["en", "en", "en", "de"]), rng.choice(["p", "q"]), rng.randint(1, 9)) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string, count int")
+    wanted = {"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.2, "b": 0.3, "c": 0.5}}
+    total = sum(r[5] for r in rows)
+    kept = mixing.sample(docs, targets=wanted, tokens="count", budget=total * 0.3).collect()
+    whole = sum(r["count"] for r in kept)
+    assert abs(whole / total - 0.3) < 0.02
+    for column, shares in wanted.items():
+        for value, share in shares.items():
+            assert abs(sum(r["count"] for r in kept if r[column] == value) / whole - share) < 0.04
+    with pytest.raises(ValueError, match="no value"):
+        mixing.sample(docs, targets={"lang": {"xx": 1.0}})
+    apart = spark.createDataFrame([(1, "w w", "a", "en"), (2, "w w", "b", "de")], "doc_id long, text string, source string, lang string")
+    with pytest.raises(ValueError, match="together"):
+        mixing.sample(apart, targets={"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.1, "b": 0.9}})
+
+
+def test_a_small_cell_does_not_set_the_rate():
+    ratio, tokens = np.array([1.0, 1.2, 400.0]), np.array([1000.0, 1000.0, 1.0])
+    p = mixing.filled(ratio, tokens, 900)
+    assert p[2] == 1 and abs(p @ tokens - 900) < 1e-6 and p[1] == pytest.approx(1.2 * p[0]) and (mixing.filled(ratio, tokens, 1e9) == 1).all()
+
+
+def test_names_that_clash(spark):
+    rows = [(k, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda" if k % 2 else f"other words {k}", "a", "en", "mine", "mine", "mine", "mine", 7) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, __mix_tokens string, __mix_probability string, row string, hits string, items int").withColumn("_hits", F.lit("mine")).withColumn("Items_", F.lit(1))
+    held = mixing.sample(docs)
+    assert held.columns == docs.columns and {r["__mix_tokens"] for r in held.collect()} == {"mine"}
+    items = spark.createDataFrame([(a, b, 1) for a, b in ITEMS], "item_id long, text string, hits int")
+    cut = decontaminate.mark(docs, items, remove="documents", bound=40)
+    assert cut.columns == docs.columns and {r.doc_id for r in cut.collect()} == set(range(0, 20, 2))
+    assert decontaminate.mark(docs, items, bound=40).count() == 20
+
+
+def test_an_index_is_bounded_by_its_texts():
+    import pickle
+
+    rng = random.Random(8)
+    items = [(str(k), " ".join(f"w{rng.randrange(5000)}" for _ in range(2000))) for k in range(100)]
+    size = sum(len(t) for _, t in items)
+    held = len(pickle.dumps(decontaminate.index_items(items)))
+    assert held < 12 * size
+
+
+def test_repeated_rows_do_not_reach_the_driver(spark, spoken, monkeypatch):
+    seen = []
+    plain = type(spark.range(1))
+    collect = plain.collect
+    monkeypatch.setattr(plain, "collect", lambda self: seen.append(out := collect(self)) or out)
+    many = spark.range(10_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("the river and the stone "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    model = language.learn(many.unionByName(spoken.select("doc_id", "text", "lang")))
+    assert set(model.dictionaries) == {"en", "de", "fr"} and max(map(len, seen)) <= 3 * language.SAMPLE_DOCS
+    seen.clear()
+    labels = spark.createDataFrame([(5, 1), (5, 1), (7, 0), (None, 1), (8, None)], "doc_id long, quality int")
+    quality.learn(many.select("doc_id", "text").unionByName(spark.createDataFrame([(7, "bad !!! bad"), (8, None)], "doc_id long, text string")), labels)
+    assert max(map(len, seen)) <= 2
+
+
+def test_the_classifier_stops_at_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    docs = spark.createDataFrame([(k, ("good " if k % 2 else "bad ") * 50) for k in range(40)], "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: held.extend(texts))
+    quality.learn(docs, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int"))
+    assert 1000 <= sum(map(len, held)) < 1300
+
+
+def test_language_is_the_smallest_encoding(spark, spoken):
+    import zstandard
+
+    model = language.learn(spoken)
+    rng = random.Random(12)
+    texts = [prose(rng, lang, n) for lang in ("en", "de", "fr") for n in (3, 40, 3000)] + ["der le the", "x"]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):  # by the streaming interface, a dictionary and a block at a time
+        import re
+
+        plain = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).strip()
+        sizes = []
+        for lang, content in model.dictionaries.items():
+            size = 0
+            for at in range(0, len(plain), 8192):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                c = zstandard.ZstdCompressor(dict_data=d, level=language.LEVEL, write_content_size=False, write_dict_id=False)
+                size += len(c.compress(plain[at : at + 8192]))
+            sizes.append((size, lang))
+        sizes.sort()
+        near = sizes[1][0] - sizes[0][0] <= 8  # a dictionary that is prepared beforehand has slightly other tables
+        assert got[k].lang_pred == sizes[0][1] or near, (text[:40], sizes)
+
+
+def test_descent_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(40)]
+    y = np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    r = rng.normal(size=quality.SIZE)
+    w, bias = quality.descend(rows, y, r)
+    x = np.zeros((40, 31))
+    for k, p in enumerate(rows):
+        x[k, p] = r[p] / np.linalg.norm(r[p])
+    x[:, 30] = 1
+    share = np.where(y > 0, (y < 0).mean(), (y > 0).mean()) * 2
+    most = quality.COST * 40**0.5 * share
+    loss = lambda v: 0.5 * v @ v + (most * np.maximum(0, 1 - y * (x @ v))).sum()
+    own = loss(np.append(w[:30], bias))
+    v = np.zeros(31)  # dense subgradient steps on the same loss
+    best = loss(v)
+    for k in range(1, 20_001):
+        g = v - x.T @ (most * y * (y * (x @ v) < 1))
+        v = v - g / (k + 10)
+        best = min(best, loss(v))
+    assert own <= best * 1.02

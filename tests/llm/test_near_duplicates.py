@@ -244,3 +244,9 @@ def test_estimates_are_unbiased_and_bounded():
     inner, bound = embedding_dup.estimate(a @ rotate, code, factor)
     error = inner - a @ b.T
     assert abs(error.mean()) < 0.002 and (np.abs(error) <= bound).all() and np.abs(error).std() < bound.mean() / 3
+
+
+def test_deduplicate_with_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", 1, 2), (1, "a b c", "x", "y", 1, 2), (2, "a b c", "x", "y", 1, 2), (None, "a b c", "x", "y", 1, 2)], "doc_id long, text string, __dedup_row string, __dedup_gone string, id int, place int").selectExpr("*", "1 as gone", "2 as hash", "3 as row")
+    kept = near_dup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r["__dedup_row"]) for r in kept.collect()) == [(0, "x"), (1, "x")]

@@ -47,8 +47,8 @@ def merge(log: DataFrame, key: str, seq: str, deleted: str) -> DataFrame:
 def after_clear(log: DataFrame, seq: str, clears: DataFrame | None = None, clear: Column | None = None) -> DataFrame:
     """Log rows after the last clearing event; clear marks such rows in the log itself, or clears (seq) lists them."""
     marks = clears if clears is not None else log.filter(clear).select(seq)
-    last = marks.agg(F.max(seq).alias("_clear"))
-    out = log.crossJoin(F.broadcast(last)).filter(F.col("_clear").isNull() | (F.col(seq) > F.col("_clear"))).drop("_clear")  # one row
+    last = marks.agg(F.max(seq)).first()[0]  # a literal reaches the scan, and spares the files before it
+    out = log if last is None else log.filter(F.col(seq) > F.lit(last))
     return out if clear is None else out.filter(~F.coalesce(clear, F.lit(False)))
 
 
@@ -84,10 +84,34 @@ def from_checkpoint(log: DataFrame, checkpoints: DataFrame, pack: str, seq: str,
     wanted = checkpoints.filter(official).select(F.col(seq).alias("_at"), F.explode("packs").alias(pack))
     present = log.select(pack, F.col(seq).alias("_own")).groupBy(pack).agg(F.min("_own").alias("_own"))
     whole = wanted.join(present, pack, "left").groupBy("_at").agg(F.count(F.when(F.col("_own").isNull(), 1)).alias("_missing"), F.min("_own").alias("_first")).filter("_missing = 0")
-    start = whole.agg(F.max_by("_first", "_at").alias("_start"))
-    return log.crossJoin(F.broadcast(start)).filter(F.col("_start").isNull() | (F.col(seq) >= F.col("_start"))).drop("_start")  # one row
+    start = whole.agg(F.max_by("_first", "_at")).first()[0]
+    return log if start is None else log.filter(F.col(seq) >= F.lit(start))
 
 
+def newest_pages(pages: DataFrame, number: str, checkpoint: Column, *, most: int | None = None) -> DataFrame:
+    """The pages (rows with a `number`, the largest the newest) that a reader who goes backwards reads: down to the
+    newest one with a checkpoint, that one included, and no more than `most`. Without a checkpoint, all."""
+    last = pages.filter(checkpoint).agg(F.max(number)).first()[0]
+    out = pages if last is None else pages.filter(F.col(number) >= F.lit(last))
+    return out if most is None else out.orderBy(F.desc(number)).limit(most)
+
+
+def commits(log: DataFrame, key: str, seq: str, *, of: object | None = None, most: int | None = None) -> DataFrame:
+    """The log's writes newest first, of one key or of all, with `change`: Added, Changed or, where the write before it
+    of its key is the same but for seq, Repeated."""
+    fields = [c for c in log.columns if c not in (key, seq)]
+    held = log if of is None else log.filter(F.col(key) == F.lit(of))
+    before = F.lag(F.struct(*fields)).over(Window.partitionBy(key).orderBy(seq))
+    marked = held.withColumn("_before", before).withColumn("change", F.when(F.col("_before").isNull(), "Added").when(F.col("_before") == F.struct(*fields), "Repeated").otherwise("Changed")).drop("_before")
+    return marked if most is None else marked.orderBy(F.desc(seq)).limit(most)
+
+
+def with_own_writes(log: DataFrame, own: DataFrame, key: str, seq: str) -> DataFrame:
+    """The log with a writer's own writes that it doesn't show yet: those of a seq that isn't there. What the log has
+    by now is taken from it, so a write is never there twice."""
+    missing = own.join(log.select(key, seq), [key, seq], "left_anti")
+    return log.unionByName(missing.select(*log.columns))
+
 def by_writer(log: DataFrame, signer: str, owner: str, writers: Sequence[str] = (), which: str = "official") -> DataFrame:
     """Rows of official writers (the owner and those it named), of the others, or all, with `official`."""
     out = log.withColumn("official", F.col(signer).isin([owner, *writers]))
@@ -124,12 +148,15 @@ def aligned(log: DataFrame, columns: Sequence[tuple[str, str, str, object]], val
 
 
 def reassemble(parts: DataFrame, row: Sequence[str], index: str, text: str, total: str | None = None) -> DataFrame:
-    """Rows that were written in parts: texts joined by index. With total, rows that lack a part are left out."""
-    held = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t"))))
-    aggregates = [held.alias("_parts"), F.countDistinct(index).alias("_n")] + ([F.max(total).alias("_total")] if total else [])
-    out = parts.groupBy(*row).agg(*aggregates)
+    """Rows that were written in parts: texts joined by index. A part that was sent again counts once, with its least
+    text. With total, only rows that have all of the parts 0 to total - 1, and no others, are there."""
+    sums = [F.max(total).alias("_total")] if total else []
+    once = parts.groupBy(*row, F.col(index).alias("_i")).agg(F.min(text).alias("_t"), *sums)
+    held = F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_t").alias("t"))))
+    bounds = [F.max("_total").alias("_total"), F.min("_i").alias("_low"), F.max("_i").alias("_high")] if total else []
+    out = once.groupBy(*row).agg(held.alias("_parts"), F.count("_i").alias("_n"), *bounds)
     if total:
-        out = out.filter("_n = _total")
+        out = out.filter("_n = _total AND _low = 0 AND _high = _total - 1")
     return out.select(*row, F.array_join(F.transform("_parts", lambda p: p["t"]), "").alias(text), F.col("_n").alias("n_parts"))
 
 

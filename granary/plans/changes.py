@@ -38,13 +38,13 @@ class Changes:
         """Add a segment: rows of the table's columns, or for deletions of its key at least."""
         have = {c.lower() for c in rows.columns}
         cols = [F.col(ident(c.name)) if c.name.lower() in have else F.lit(None).cast(c.type.spark).alias(c.name) for c in t.columns]
-        seq = len(t.segments) + 1
-        held = staged(rows.select(*cols, F.lit(deleted).alias("_deleted"), F.lit(seq).cast("bigint").alias("_seq")), t.name)
+        t.seq += 1
+        held = staged(rows.select(*cols, F.lit(deleted).alias("_deleted"), F.lit(t.seq).cast("bigint").alias("_seq")), t.name)
         count = held.count()
         if count:
             t.segments.append(held)
             if len(t.segments) > SEGMENTS:
-                t.segments = [staged(t.changes().withColumn("_seq", F.lit(0).cast("bigint")), t.name)]
+                t.segments = [staged(t.changes().withColumn("_seq", F.lit(t.seq).cast("bigint")), t.name)]
         return count
 
     # values
@@ -84,8 +84,8 @@ class Changes:
         """Rows with _problem: what rule a row breaks by itself."""
         emitter = Emitter(self.engine)
         scope = Scope([Source("_r", [(c.name, c.type.kind) for c in t.columns])], None)
-        tests = [(f"`_r`.{ident(c.name)} IS NULL", f"{c.name} can't be empty") for c in t.columns if c.not_null or c.name.lower() == t.key.lower()]
-        tests += [(f"NOT coalesce({condition(emitter.expr(parse_expr(text), scope))}, true)", f"{name} breaks the rule {text}") for name, text in t.checks]
+        tests = [(f"`_r`.{ident(c.name)} IS NULL", f"{c.name} needs a value") for c in t.columns if c.not_null or c.name.lower() == t.key.lower()]
+        tests += [(f"NOT coalesce({condition(emitter.expr(parse_expr(text), scope))}, true)", f"{name} fails the check {text}") for name, text in t.checks]
         problem = "CASE " + " ".join(f"WHEN {test} THEN {quote(why)}" for test, why in tests) + " END"
         view = self.engine.temp_view(rows, "rows")
         return self.spark.sql(f"SELECT *, {problem} AS _problem FROM {view} AS `_r`")
@@ -97,7 +97,7 @@ class Changes:
     def refuse_repeated(self, t: Table) -> None:
         """Keys and unique columns of the table as it would be."""
         rows = t.rows()
-        for what, cols in [("already exists", [t.key]), *((f"{n} must be unique", c) for n, c in t.uniques)]:
+        for what, cols in [("is taken", [t.key]), *((f"{n} has a value twice", c) for n, c in t.uniques)]:
             keys = [folded_key(c) for c in cols]
             filled = rows.filter(reduce(lambda a, b: a & b, [F.col(ident(c)).isNotNull() for c in cols]))
             if bad := filled.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).count().filter("count > 1").first():
@@ -108,7 +108,7 @@ class Changes:
             return
         for f in t.foreigns:
             if bad := self.orphans(t, f, rows).first():
-                raise DialectError(f"{', '.join(map(str, bad))} isn't in {f.to}")
+                raise DialectError(f"{', '.join(map(str, bad))} has no match in {f.to}")
 
     def orphans(self, t: Table, f: Foreign, rows: DataFrame | None = None) -> DataFrame:
         """Values of a foreign key that the table it points to hasn't got."""
@@ -199,12 +199,19 @@ class Changes:
         return out
 
     def insert_rounds(self, t: Table, rows: DataFrame, ignore: bool, replace: bool, update: list) -> int:
-        """Rows of one key follow each other in rounds, so that the later ones meet the earlier."""
+        """REPLACE and IGNORE in a fixed number of jobs, however often a key comes; ON DUPLICATE KEY UPDATE too, unless
+        it reads old values or there are unique columns: then the rows of one key follow each other in rounds."""
         if not (ignore or replace or update):
             count = self.put(t, rows) if not self.conflicts(t, rows).limit(1).count() else self.name_conflict(t, rows)
             if count > 1:
                 self.refuse_repeated_in(t, rows)
             return count
+        if replace:
+            return self.replaced_rows(t, rows)
+        if ignore:
+            return self.ignored_rows(t, rows)
+        if not t.uniques and not any(reads(e, {c.name.lower() for c in t.columns}) for _, e in update):
+            return self.upserted_rows(t, rows, update)
         turn = Window.partitionBy(folded_key(t.key)).orderBy("_ord")
         placed = staged(rows.withColumn("_turn", F.row_number().over(turn)), "rounds")
         total = 0
@@ -212,28 +219,73 @@ class Changes:
             part = placed.filter(F.col("_turn") == k).drop("_turn")
             met = staged(self.conflicts(t, part).groupBy("_ord").agg(F.min("_old").alias("_old"), F.collect_set("_old").alias("_olds")), "conflicts")
             free = part.join(met, "_ord", "left_anti")
-            if ignore:
-                total += self.put(t, free)
-            elif replace:
-                gone = met.select(F.explode("_olds").alias(t.key))
-                self.put(t, gone, deleted=True)
-                total += self.put(t, part)
-            else:
-                self.refuse_broken(t, free)
-                total += self.put(t, free) + self.upsert(t, part, met, update)
-        if not update:
-            self.refuse_repeated(t)
+            self.refuse_broken(t, free)
+            total += self.put(t, free) + self.upsert(t, part, met, update)
+        return total
+
+    def replaced_rows(self, t: Table, rows: DataFrame) -> int:
+        """A row stays if it is the last of its key and of each unique value that it has; what is there and shares one
+        with any row goes. Each row counts."""
+        gone = staged(self.conflicts(t, rows).select(F.col("_old").alias(t.key)).distinct(), "gone")
+        last = rows
+        for cols in [[t.key], *(c for _, c in t.uniques)]:
+            names = [f"_k{i}" for i in range(len(cols))]
+            keyed = last.withColumns({k: folded_key(c) for k, c in zip(names, cols)})
+            ends = rows.select("_ord", *[folded_key(c).alias(k) for k, c in zip(names, cols)]).groupBy(*names).agg(F.max("_ord").alias("_last"))
+            held = keyed.join(ends, [keyed[k].eqNullSafe(ends[k]) for k in names], "left").drop(*[ends[k] for k in names])
+            empty = reduce(lambda p, q: p | q, [F.col(k).isNull() for k in names])
+            last = held.filter(empty | (F.col("_last") == F.col("_ord"))).drop("_last", *names)
+        total = rows.count()
+        self.put(t, gone, deleted=True)
+        self.put(t, staged(last, "replace"))
+        return total
+
+    def ignored_rows(self, t: Table, rows: DataFrame) -> int:
+        """Rows that meet nothing that is there; of rows that share a key or a unique value the first. Rounds are as
+        many as such rows lean on each other in turn, one where only the key is unique."""
+        left = staged(rows.join(self.conflicts(t, rows).select("_ord").distinct(), "_ord", "left_anti"), "ignore")
+        keys = [[t.key], *(c for _, c in t.uniques)]
+        total = 0
+        while not left.isEmpty():
+            firsts = None
+            for j, cols in enumerate(keys):
+                filled = left.filter(reduce(lambda p, q: p & q, [F.col(ident(c)).isNotNull() for c in cols]))
+                one = filled.groupBy(*[folded_key(c).alias(f"k{i}") for i, c in enumerate(cols)]).agg(F.min("_ord").alias("_first"))
+                held = filled.select("_ord", *[folded_key(c).alias(f"k{i}") for i, c in enumerate(cols)]).join(one, [f"k{i}" for i in range(len(cols))]).select("_ord", (F.col("_ord") > F.col("_first")).alias("_later"))
+                firsts = held if firsts is None else firsts.unionByName(held)
+            later = firsts.groupBy("_ord").agg(F.max("_later").alias("_later")).filter("_later").select("_ord")
+            total += self.put(t, left.join(later, "_ord", "left_anti"))
+            if len(keys) == 1:
+                break
+            left = left.join(later, "_ord", "left_semi")
+            left = staged(left.join(self.conflicts(t, left).select("_ord").distinct(), "_ord", "left_anti"), "ignore")
+        return total
+
+    def upserted_rows(self, t: Table, rows: DataFrame, update: list) -> int:
+        """ON DUPLICATE KEY UPDATE by values of the incoming rows alone: the first of a new key is a row, and the last of
+        each key that was met says what its columns become."""
+        key = folded_key(t.key).alias("_k")
+        ends = rows.groupBy(key).agg(F.min("_ord").alias("_first"), F.max("_ord").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        met = staged(self.conflicts(t, rows.select("_ord", ident(t.key))).select("_ord", "_old"), "conflicts")
+        fresh = rows.join(ends.select(F.col("_first").alias("_ord")), "_ord", "left_semi").join(met, "_ord", "left_anti")
+        self.refuse_broken(t, fresh)
+        total = rows.count()
+        self.put(t, fresh)
+        again = ends.filter("_n > 1 OR false").select(F.col("_last").alias("_ord")).unionByName(met.join(ends.select(F.col("_last").alias("_ord")), "_ord", "left_semi").select("_ord")).distinct()
+        part = staged(rows.join(again, "_ord", "left_semi"), "again")
+        if not part.isEmpty():
+            self.upsert(t, part, staged(self.conflicts(t, part).select("_ord", "_old"), "conflicts"), update)
         return total
 
     def name_conflict(self, t: Table, rows: DataFrame) -> int:
         now = t.rows().select(folded_key(t.key).alias("k"))
         if bad := rows.select(F.col(ident(t.key)).cast("string").alias("v"), folded_key(t.key).alias("k")).join(now, "k", "left_semi").first():
-            raise DialectError(f"{t.key} {bad[0]} already exists")
-        raise DialectError(f"{', '.join(c for _, cols in t.uniques for c in cols)} must be unique")
+            raise DialectError(f"{t.key} {bad[0]} is taken")
+        raise DialectError(f"{', '.join(c for _, cols in t.uniques for c in cols)} has a value twice")
 
     def refuse_repeated_in(self, t: Table, rows: DataFrame) -> None:
         only = t.copy()
-        only.base, only.segments = rows, []
+        only.settle(rows)
         self.refuse_repeated(only)
 
     def upsert(self, t: Table, part: DataFrame, met: DataFrame, update: list) -> int:
@@ -294,11 +346,12 @@ class Changes:
                 assigned[c.name.lower()] = n.Item(n.Call("CURRENT_TIMESTAMP", []), None, c.name)
         items = [n.Item(n.Col(t.key, alias), "_old", "_old")]
         items += [n.Item(assigned[c.name.lower()].expr if c.name.lower() in assigned else n.Col(c.name, alias), f"_v_{c.name}", c.name) for c in t.columns]
-        q = n.Query(n.Select(items, source, where), order=order, limit=limit)
+        places = [] if single else [n.Item(n.Col(key, a), f"_p{i}", f"_p{i}") for i, (a, key) in enumerate(self.keys_of(source)) if a.lower() != alias.lower()]
+        q = n.Query(n.Select([*items, *places], source, where), order=order, limit=limit)
         held = Emitter(self.engine).query(q)
         df = self.spark.sql(held.sql)
         if not single:
-            df = df.dropDuplicates(["_old"])  # the first match of a row counts
+            df = first_matches(df, [i.label for i in places])
         kinds = {c.name.lower(): held.columns[i + 1][1] for i, c in enumerate(t.columns)}
         rows = self.typed(t, df.filter("_old IS NOT NULL"), [c.name.lower() for c in t.columns], kinds)
         self.refuse_broken(t, rows)
@@ -317,6 +370,15 @@ class Changes:
             self.follow_updates(t, before, rows)
         return count
 
+    def keys_of(self, source) -> list[tuple[str, str]]:
+        """(alias, key) of the tables in FROM whose key is known."""
+        out = []
+        for alias, name in named(source):
+            held, attached = self.engine.tables.get(name.lower()), self.engine.attached.get(name.lower())
+            key = held.key if held is not None else attached[2] if attached is not None else None
+            out += [(alias, key)] if key else []
+        return out
+
     def pointing(self, t: Table) -> list[tuple[Table, Foreign]]:
         out = []
         for name in list(self.engine.tables):
@@ -343,7 +405,7 @@ class Changes:
         if not count:
             return None
         if action == "RESTRICT":
-            raise DialectError(f"{child.name} still points to it")
+            raise DialectError(f"{child.name} has rows that refer to it")
         if action == "CASCADE" and new is None:
             return hit.select(*map(ident, child.names))
         for i, c in enumerate(f.columns):
@@ -387,6 +449,29 @@ class Changes:
         return count
 
 
+def first_matches(df: DataFrame, order: list[str]) -> DataFrame:
+    """One row of each _old: the first by the keys of the tables it was joined with, then by its values."""
+    rest = [c for c in df.columns if c != "_old" and c not in order]
+    at = {c: i for i, c in enumerate(df.columns)}
+    numbered_names = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    least = F.min(F.struct(*[f"c{at[c]}" for c in [*order, *rest]]))
+    first = numbered_names.groupBy(F.col(f"c{at['_old']}").alias("_old")).agg(least.alias("r"))
+    return first.select("_old", *[F.col(f"r.c{at[c]}").alias(c) for c in rest])
+
+
+def reads(e, columns: set[str]) -> bool:
+    """Whether an expression names one of the columns but in VALUES(), or might."""
+    if isinstance(e, n.Call) and e.name == "VALUES":
+        return False
+    if isinstance(e, n.Col):
+        return e.name.lower() in columns
+    if isinstance(e, (list, tuple)):
+        return any(reads(x, columns) for x in e)
+    if isinstance(e, (n.Query, n.Select)):
+        return True
+    return any(reads(getattr(e, f), columns) for f in e.__dataclass_fields__) if hasattr(e, "__dataclass_fields__") else False
+
+
 def incoming_values(e):
     """The expression with VALUES(c) as the incoming row's column."""
     if isinstance(e, n.Call) and e.name == "VALUES":

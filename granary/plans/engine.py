@@ -215,11 +215,9 @@ class Engine(SchemaStatements, ShowStatements):
         return "Changes stay pending until COMMIT"
 
     def do_commit(self) -> str:
-        """Pending segments become part of the base, which is written anew."""
-        changed = [t for t in self.tables.values() if t.segments]
-        for t in changed:
-            t.base, t.segments = staged(t.rows(), t.name), []
-        return f"Saved {len(changed)} table{'s' * (len(changed) != 1)}"
+        """Pending segments are kept; a table is written anew only when it has many of them."""
+        changed = sum(t.commit() for t in self.tables.values())
+        return f"Saved {changed} table{'s' * (changed != 1)}"
 
     def do_rollback(self) -> str:
         """Pending rows go; the structure stays."""
@@ -233,7 +231,7 @@ class Engine(SchemaStatements, ShowStatements):
         changes = t.changes()
         if changes is None:
             return self.spark.createDataFrame([], t.base.select(*map(ident, t.names)).schema).withColumn("state", F.lit(""))
-        old = t.base.select(F.lower(F.rtrim(F.col(ident(t.key)).cast("string"))).alias("_k"), F.lit(True).alias("_was"))
+        old = t.committed().select(F.lower(F.rtrim(F.col(ident(t.key)).cast("string"))).alias("_k"), F.lit(True).alias("_was"))
         held = changes.withColumn("_k", F.lower(F.rtrim(F.col(ident(t.key)).cast("string")))).join(old, "_k", "left")
         state = F.when(F.col("_deleted"), "Deleted").when(F.col("_was"), "Changed").otherwise("New")
         return held.filter("NOT _deleted OR _was").withColumn("state", state).select(*map(ident, t.names), "state")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.base import ident, quote
 from granary.operators.log import latest
+from granary.plans.staging import staged
 from granary.plans.types import Type
 
 #: Pending segments that are merged into one, so that plans stay short.
@@ -60,6 +62,8 @@ class Table:
     foreigns: list[Foreign] = field(default_factory=list)
     checks: list[tuple[str, str]] = field(default_factory=list)
     segments: list[DataFrame] = field(default_factory=list)  # the table's columns, _deleted and _seq
+    saved: list[DataFrame] = field(default_factory=list)  # segments that were committed
+    seq: int = 0
     next_id: int = 1
     comment: str = ""
     open: bool = False
@@ -72,18 +76,32 @@ class Table:
     def names(self) -> list[str]:
         return [c.name for c in self.columns]
 
-    def changes(self) -> DataFrame | None:
-        """The last pending change of each key."""
+    def settle(self, base: DataFrame) -> None:
+        """The table is what base holds, with no changes over it."""
+        self.base, self.segments, self.saved = base, [], []
+
+    def commit(self) -> bool:
+        """Pending segments become saved ones, which are appended to, not written anew; many become the base."""
         if not self.segments:
+            return False
+        self.saved, self.segments = [*self.saved, *self.segments], []
+        if len(self.saved) > SEGMENTS:
+            self.settle(staged(self.rows(), self.name))
+        return True
+
+    def changes(self, saved: bool = False) -> DataFrame | None:
+        """The last pending change of each key; with saved the committed ones count too."""
+        held = [*self.saved, *self.segments] if saved else self.segments
+        if not held:
             return None
-        out = self.segments[0]
-        for s in self.segments[1:]:
-            out = out.unionByName(s)
-        return latest(out, folded_key(self.key), "_seq")
+        return latest(reduce(DataFrame.unionByName, held), folded_key(self.key), "_seq")
+
+    def committed(self) -> DataFrame:
+        return replace(self, segments=[]).rows()
 
     def rows(self) -> DataFrame:
-        """The base with the pending changes over it."""
-        changes = self.changes()
+        """The base with the saved and the pending changes over it."""
+        changes = self.changes(saved=True)
         if changes is None:
             return self.base.select(*map(ident, self.names))
         k = folded_key(self.key)
@@ -91,7 +109,7 @@ class Table:
         return kept.select(*map(ident, self.names)).unionByName(changes.filter("NOT _deleted").select(*map(ident, self.names)))
 
     def copy(self) -> Table:
-        return replace(self, columns=[replace(c) for c in self.columns], uniques=list(self.uniques), indexes=list(self.indexes), foreigns=list(self.foreigns), checks=list(self.checks), segments=list(self.segments), writers=list(self.writers))
+        return replace(self, columns=[replace(c) for c in self.columns], uniques=list(self.uniques), indexes=list(self.indexes), foreigns=list(self.foreigns), checks=list(self.checks), segments=list(self.segments), saved=list(self.saved), writers=list(self.writers))
 
     def sql(self) -> str:
         lines = [c.sql() for c in self.columns] + [f"PRIMARY KEY ({ident(self.key)})"]

@@ -95,8 +95,8 @@ class Type:
     def problem(self, column: str) -> str:
         """What is wrong with a value that coerce() made NULL."""
         if self.name in RANGES:
-            return f"{column}: it isn't a whole number in range"
-        what = {"DECIMAL": "a number", "FLOAT": "a number", "DOUBLE": "a number", "BOOLEAN": "yes or no", "DATE": "a date", "DATETIME": "a date and time", "TIME": "a time", "YEAR": "a year", "JSON": "JSON", "ENUM": "one of the choices", "SET": "a list of the choices"}
+            return f"{column}: no whole number of its range"
+        what = {"DECIMAL": "a number", "FLOAT": "a number", "DOUBLE": "a number", "BOOLEAN": "yes or no", "DATE": "a date", "DATETIME": "a date and time", "TIME": "a time", "YEAR": "a year", "JSON": "JSON", "ENUM": "a listed value", "SET": "a list of the choices"}
         return f"{column}: it isn't {what[self.name]}" if self.name in what else f"{column}: it is too long"
 
 

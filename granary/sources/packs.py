@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.shipping import ship
+
 # Fixed values of the format: a tag, then a letter for the mode: j records as JSON, s a structure record as JSON.
 TAG = "PK1"
 COLUMNS_MOST = 4096
@@ -46,6 +48,7 @@ def structures(log: DataFrame, payload: str = "p", tag: str = TAG) -> DataFrame:
 
 def decode_with(log: DataFrame, decoders: dict[str, Callable[[str], Iterator[dict]]], schema: str, payload: str = "p") -> DataFrame:
     """Records of foreign packs: each decoder reads those whose payload begins with its tag, a batch at a time."""
+    ship(log.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,32 +79,37 @@ def pack_id(payload: str) -> str:
 
 
 def plan(columns: list[str], rows: list[list], most: int, key: int = 0) -> list[str]:
-    """As few packs as their order allows, each of at most `most` bytes: sizes add up, so one pass finds the cuts."""
+    """As few packs as their order allows, each of at most `most` bytes."""
+    return [p for p, _ in cuts(columns, rows, most, key)]
+
+
+def cuts(columns: list[str], rows: Iterable[list], most: int, key: int = 0) -> Iterator[tuple[str, int]]:
+    """plan()'s packs with their numbers of records, as the rows come: sizes add up, so one pass finds where to cut."""
     empty = len(encode(columns, [], key).encode())
-    out, held, size = [], [], empty
+    held, size = [], empty
     for r in rows:
         own = len(encode(columns, [r], key).encode()) - empty
         if empty + own > most:
             raise ValueError(f"the record with key {r[key]!r} doesn't fit in {most} bytes")
-        if held and size + own + 1 > most:
-            out.append(encode(columns, held, key))
+        if held and (size + own + 1 > most or len(held) == RECORDS_MOST):
+            yield encode(columns, held, key), len(held)
             held, size = [], empty
         size += own + (1 if held else 0)
         held.append(r)
-    return out + ([encode(columns, held, key)] if held else [])
+    if held:
+        yield encode(columns, held, key), len(held)
 
 
 def write_packs(df: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
     """A DataFrame as log rows (id, p, n_records): each partition in packs of at most `most` bytes, in its order."""
+    ship(df.sparkSession)
     columns = df.columns
     at = columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [list(r) for r in zip(*(c.to_pylist() for c in batch.columns))]
-            if rows:
-                packs = plan(columns, rows, most, at)
-                yield pa.RecordBatch.from_pydict({"id": [pack_id(p) for p in packs], "p": packs, "n_records": pa.array([p.count("],[") + 1 for p in packs], pa.int64())})
+        rows = (list(r) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for p, n in cuts(columns, rows, most, at):
+            yield pa.RecordBatch.from_pydict({"id": [pack_id(p)], "p": [p], "n_records": pa.array([n], pa.int64())})
 
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     return texts.mapInArrow(run, "id string, p string, n_records long")

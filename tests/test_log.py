@@ -48,6 +48,22 @@ def test_reassembly_leaves_out_incomplete_rows(spark):
     assert [tuple(r) for r in log.reassemble(df, ["row"], "i", "t", "total").collect()] == [("r", "ab", 2)]
 
 
+def test_reassembly_of_parts_sent_again_and_first_parts_lost(spark):
+    df = spark.createDataFrame([("r", 0, "a", 2), ("r", 1, "b", 2), ("r", 1, "b", 2), ("s", 1, "x", 2), ("s", 2, "y", 2), ("t", 0, "z", 1)], "row string, i int, t string, total int")
+    assert sorted(tuple(r) for r in log.reassemble(df, ["row"], "i", "t", "total").collect()) == [("r", "ab", 2), ("t", "z", 1)]
+    assert sorted(r.t for r in log.reassemble(df, ["row"], "i", "t").collect()) == ["ab", "xy", "z"]
+
+
+def test_pages_commits_and_own_writes(spark):
+    pages = spark.createDataFrame([(1, False), (2, True), (3, False), (4, False)], "n long, mark boolean")
+    assert sorted(r.n for r in log.newest_pages(pages, "n", F.col("mark")).collect()) == [2, 3, 4]
+    assert sorted(r.n for r in log.newest_pages(pages, "n", F.lit(False), most=2).collect()) == [3, 4]
+    held = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 3, 1), ("a", 4, 6)], "k string, seq long, v long")
+    assert [(r.seq, r.change) for r in log.commits(held, "k", "seq", of="a").orderBy("seq").collect()] == [(1, "Added"), (2, "Repeated"), (4, "Changed")]
+    own = spark.createDataFrame([("a", 4, 6), ("a", 9, 7)], "k string, seq long, v long")
+    assert sorted(r.seq for r in log.with_own_writes(held, own, "k", "seq").collect()) == [1, 2, 3, 4, 9]
+
+
 def test_overlay_states(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string")
     pending = spark.createDataFrame([(1, "a", False), (2, "B", False), (3, None, True), (4, "d", False), (5, None, True)], "id long, v string, gone boolean")

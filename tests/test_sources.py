@@ -42,6 +42,18 @@ def test_packs_fit_their_bound():
     assert [r for p in held for r in json.loads(p[len(packs.TAG) + 1 :])["r"]] == rows
 
 
+def test_packs_are_counted_and_cross_batches(spark):
+    df = spark.createDataFrame([(f"k{i}", "x],[y" * (i % 3)) for i in range(500)], "id string, v string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        held = packs.write_packs(df, "id", 3000).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r.p for r in held] == packs.plan(["id", "v"], [list(r) for r in df.collect()], 3000), "batches don't cut packs"
+    assert [r.n_records for r in held] == [len(json.loads(r.p[len(packs.TAG) + 1 :])["r"]) for r in held] and sum(r.n_records for r in held) == 500
+
+
 def test_foreign_packs(spark):
     df = spark.createDataFrame([("ZZ1:a,b",), ("other",)], "p string")
     read = {"ZZ1": lambda p: [{"v": x} for x in p[4:].split(",")]}

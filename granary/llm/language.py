@@ -18,6 +18,7 @@ DICTIONARY_BYTES = 128 << 10
 ALL_BYTES = 64 << 20
 #: Documents a language's dictionary is made of, at most; those of the least id hashes, none over a quarter of it.
 SAMPLE_DOCS = 400
+PARTS = 64
 #: Bytes that are encoded at once, so that what a long text repeats of itself doesn't hide the dictionary's part.
 BLOCK = 8 << 10
 LEVEL = 8
@@ -105,7 +106,10 @@ def learn(docs: DataFrame) -> Model:
     order = ["far", "near", "doc_id", "hash"]
     best = staged(ranks.mapInArrow(_best, ranks.schema), "best")
     one = best.groupBy("lang", "doc_id").agg(F.min(F.struct(*order, "size")).alias("r")).select("lang", "r.*")
-    ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= SAMPLE_DOCS)
+    # a language's best are found in parts first: tasks leave SAMPLE_DOCS each, and there may be many tasks
+    part = Window.partitionBy("lang", F.pmod("near", F.lit(PARTS))).orderBy(*order)
+    fewer = one.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= SAMPLE_DOCS)
+    ranked = fewer.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= SAMPLE_DOCS)
     total = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     chosen = ranked.withColumn("before", F.coalesce(F.sum("size").over(total), F.lit(0))).filter(F.col("before") < DICTIONARY_BYTES).select("lang", "place", "doc_id", "hash").collect()
     languages = sorted({r.lang for r in chosen})

@@ -422,10 +422,10 @@ def _(spark, d):
     return log.overlay(base, pending.unionAll(new), "n_nationkey", "gone")
 
 
-@f("commit_log", "SELECT event_id, value, CASE WHEN lag(event_id) OVER (ORDER BY event_id) IS NULL THEN 'Added' WHEN value = lag(value) OVER (ORDER BY event_id) AND event_type = lag(event_type) OVER (ORDER BY event_id) THEN 'Repeated' ELSE 'Changed' END AS change FROM events WHERE user_id = 5 ORDER BY event_id DESC LIMIT 10")
+@f("commit_log", "SELECT user_id, event_id, value, CASE WHEN lag(event_id) OVER w IS NULL THEN 'Added' WHEN value = lag(value) OVER w AND event_type = lag(event_type) OVER w THEN 'Repeated' ELSE 'Changed' END AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def _(spark, d):
     held = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    return log.commits(held, "user_id", "event_id", of=5, most=10).select("event_id", "value", "change")
+    return log.commits(held, "user_id", "event_id").select("user_id", "event_id", "value", "change")
 
 
 @f("log_own_writes", "SELECT event_id, user_id FROM events")
@@ -449,7 +449,7 @@ def _(spark, d):
 
 @f("pack_counts", "SELECT CAST(count(*) AS BIGINT) AS n FROM conversations")
 def _(spark, d):
-    held = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.concat(F.lit("x],[y"), F.substring("text", 1, 50)).alias("v"))
+    held = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.concat(F.lit("x],[y"), "text").alias("v"))
     return packs.write_packs(held, "k", 4000).agg(F.sum("n_records").alias("n"))
 
 

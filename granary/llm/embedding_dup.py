@@ -74,7 +74,7 @@ def bucket_keys(vectors: np.ndarray, bits: int, keys: int) -> np.ndarray:
     return (signs.reshape(len(vectors), keys, bits) @ (1 << np.arange(bits))).astype(np.int32)
 
 
-def _features(bits: int, keys: int):
+def _features(bits: int, keys: int, stored: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -93,7 +93,7 @@ def _features(bits: int, keys: int):
                         pa.array([ids[k] for k in places], pa.int64()),
                         pa.array([f"{labels[k]}:{dim}" for k in places]),
                         pa.array([hashlib.blake2b(f"{labels[k]}:{dim}".encode() + v.tobytes(), digest_size=16).hexdigest() for k, v in zip(places, held)]),
-                        pa.array([v.tobytes() for v in held], pa.binary()),
+                        pa.array([v.tobytes() for v in held.astype(stored)], pa.binary()),
                         pa.array([c.tobytes() for c in code], pa.binary()),
                         pa.array(factor),
                         pa.array(key.tolist(), pa.list_(pa.int32())),
@@ -144,12 +144,12 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _link():
+def _link(stored: str):
     """Of each cell: rows (u, null, links that u gains) and rows (u, v, 0), edges that join what the links join."""
 
     def group(t: pa.Table):
         n = len(t)
-        vectors = np.frombuffer(b"".join(t["vector"].to_pylist()), np.float64).reshape(n, -1)
+        vectors = np.frombuffer(b"".join(t["vector"].to_pylist()), stored).reshape(n, -1)
         code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(n, -1)
         keys = np.array(t["keys"].to_pylist(), np.int32)
         block = t["block"].to_numpy() if t["crossed"][0].as_py() else None
@@ -210,7 +210,9 @@ def link(embeddings: DataFrame) -> DataFrame:
     valid = rows.filter(VALID)
     largest = valid.groupBy("label", F.size("embedding")).count().agg(F.max("count")).first()[0] or 0
     bits, keys = plan(largest)
-    found = staged(valid.mapInArrow(_features(bits, keys), "vec_id long, kind string, digest string, vector binary, code binary, factor double, keys array<int>"), "codes")
+    # vectors of single precision travel as such, and lose nothing: all that is computed takes them as doubles
+    stored = "<f4" if embeddings.select("embedding").schema[0].dataType.simpleString() == "array<float>" else "<f8"
+    found = staged(valid.mapInArrow(_features(bits, keys, stored), "vec_id long, kind string, digest string, vector binary, code binary, factor double, keys array<int>"), "codes")
     least = found.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select(apart("digest").alias("k"), "rep", "copies")
     member = staged(found.select("vec_id", F.col("digest").alias("k")).join(least, "k"), "copies").withColumnRenamed("k", "digest")
     own = found.withColumn("k", F.col("digest")).join(least, "k").filter("vec_id = rep")
@@ -219,7 +221,7 @@ def link(embeddings: DataFrame) -> DataFrame:
     counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(apart_long("bucket").alias("k"), "n")
     shared = placed.withColumn("k", F.col("bucket")).join(counts, "k").drop("k")
     full = shared.join(reps.select("digest", "kind", "vector", "code", "factor", "keys", "copies"), "digest")
-    out = staged(spread(full, BLOCK, ["vec_id", "j", "kind", "vector", "code", "factor", "keys", "copies"], "vec_id").mapInArrow(_link(), "u long, v long, links long"), "links")
+    out = staged(spread(full, BLOCK, ["vec_id", "j", "kind", "vector", "code", "factor", "keys", "copies"], "vec_id").mapInArrow(_link(stored), "u long, v long, links long"), "links")
     roots = components(out.filter("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     direct = out.filter("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     stats = staged(direct.join(roots, "rep", "full"), "stats")

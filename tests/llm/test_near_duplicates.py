@@ -236,6 +236,14 @@ def test_embedding_links(spark, monkeypatch):
     assert embedding_dup.link(df.limit(0)).count() == 0
 
 
+def test_single_precision_loses_no_link(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, label, [float(x) for x in np.float32(v)]) for k, (label, v) in enumerate(vectors(rng))]
+    double = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    single = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    assert sorted(embedding_dup.link(single).collect()) == sorted(embedding_dup.link(double).collect())
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     a, b = embedding_dup.unit(rng.standard_normal((300, 64))), embedding_dup.unit(rng.standard_normal((300, 64)))

@@ -1,4 +1,4 @@
-"""Command line: run a script over tables, encode rows as packs, decode packs, read a log's current rows."""
+"""Command line: run a script over tables, encode rows as packs, decode packs, write to a log, read its current rows."""
 
 from __future__ import annotations
 
@@ -8,13 +8,17 @@ import io
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators.log import merge
 from granary.plans.engine import Engine
+from granary.plans.staging import numbered
 from granary.sources import files, packs
 
+LOG = "id string, p string, signer string, time long"
+
 
 def shown(df: DataFrame, form: str) -> str:
     """A result as csv, json or text; columns of one name get _2, _3 and so on. Rows come a partition at a time."""
@@ -62,13 +66,27 @@ def decode(spark: SparkSession, payloads: list[str], form: str = "csv") -> str:
 
 def read_log(spark: SparkSession, folder: str, form: str = "csv") -> str:
     """Current rows of a folder of log files (one JSON object a line, in the order of their time)."""
-    log = spark.read.schema("id string, p string, signer string, time long").json(folder)
+    log = spark.read.schema(LOG).json(folder)
     rows = packs.decode(log).withColumn("seq", F.col("time") * packs.RECORDS_MOST + F.col("record"))
     held = merge(rows.select("key", "seq", "values", "deleted"), "key", "seq", "deleted")
     names = [r[0] for r in rows.select(F.posexplode(F.map_keys("values")).alias("at", "c")).groupBy("c").agg(F.min("at").alias("at")).orderBy("at", "c").collect()]
     return shown(held.orderBy("first_seq").select(*[F.col("values")[c].alias(c) for c in names]), form)
 
 
+def write(spark: SparkSession, path: str, folder: str, key: str | None = None, signer: str | None = None) -> int:
+    """Append a CSV file's rows to a folder of log files, as packs of the times after the log's last; the number of packs."""
+    df = files.read_csv(spark, path)
+    try:
+        last = spark.read.schema(LOG).json(folder).agg(F.max("time")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    held = numbered(packs.write_packs(df, key or df.columns[0], packs.BYTES_MOST), "time", 0 if last is None else last + 1)
+    held.select("id", "p", F.lit(signer).cast("string").alias("signer"), "time").write.mode("append").json(folder)
+    return held.count()
+
+
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="granary")
     sub = p.add_subparsers(dest="what", required=True)
@@ -77,6 +95,11 @@ def main(args: list[str]) -> int:
     s.add_argument("--table", action="append", default=[], metavar="NAME=PATH")
     for name in ("encode", "decode", "read"):
         sub.add_parser(name).add_argument("path")
+    w = sub.add_parser("write")
+    w.add_argument("path")
+    w.add_argument("folder")
+    w.add_argument("--key")
+    w.add_argument("--signer")
     for c in sub.choices.values():
         c.add_argument("--format", choices=["csv", "json", "text"], default="text" if c is s else "csv")
     a = p.parse_args(args)
@@ -88,6 +111,8 @@ def main(args: list[str]) -> int:
     elif a.what == "decode":
         with open(a.path, encoding="utf-8") as f:
             print(decode(spark, f.read().splitlines(), a.format), end="")
+    elif a.what == "write":
+        print(json.dumps({"packs": write(spark, a.path, a.folder, a.key, a.signer)}))
     else:
         print(read_log(spark, a.path, a.format), end="")
     return 0

@@ -450,7 +450,7 @@ def _(spark, d):
 @f("pack_counts", "SELECT CAST(count(*) AS BIGINT) AS n FROM conversations")
 def _(spark, d):
     held = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.concat(F.lit("x],[y"), "text").alias("v"))
-    return packs.write_packs(held, "k", 4000).agg(F.sum("n_records").alias("n"))
+    return packs.write_packs(held, "k").agg(F.sum("n_records").alias("n"))
 
 
 @f("pack_round_trip", "SELECT CAST(n_nationkey AS VARCHAR) AS \"key\", n_name FROM nation")

@@ -94,3 +94,13 @@ def test_cli(spark, tmp_path):
     log.mkdir()
     (log / "0.json").write_text("\n".join(json.dumps({"id": str(k), "p": packs.encode(["id", "v"], rows, deleted=gone), "time": k}) for k, (rows, gone) in enumerate([([["a", "1"], ["b", "2"]], ()), ([["a", "9"], ["b", None]], (1,))])))
     assert cli.read_log(spark, str(log)) == "id,v\na,9\n"
+
+
+def test_cli_writes_to_a_log(spark, tmp_path):
+    folder, path = str(tmp_path / "log"), tmp_path / "a.csv"
+    path.write_text("sku,qty\nA,1\nB,2\n")
+    assert cli.write(spark, str(path), folder) == 1
+    path.write_text("sku,qty\nB,5\nC,7\n")
+    assert cli.write(spark, str(path), folder, "sku", "me") == 1
+    assert cli.read_log(spark, folder) == "sku,qty\nA,1\nB,5\nC,7\n"
+    assert sorted((r.time, r.signer) for r in spark.read.schema(cli.LOG).json(folder).collect()) == [(0, None), (1, "me")]

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Slices of a log's order whose sums meet in one task.
 SLICES = 10_000
+#: Slices of the order that a key's writes are compared in.
+PARTS = 256
 
 
 def latest(log: DataFrame, key: str | Column, seq: str | Column) -> DataFrame:
@@ -98,11 +100,23 @@ def newest_pages(pages: DataFrame, number: str, checkpoint: Column, *, most: int
 
 def commits(log: DataFrame, key: str, seq: str, *, of: object | None = None, most: int | None = None) -> DataFrame:
     """The log's writes newest first, of one key or of all, with `change`: Added, Changed or, where the write before it
-    of its key is the same but for seq, Repeated."""
+    of its key is the same but for seq, Repeated. seq holds whole numbers; null keys are one key and equal nulls the same.
+
+    A key's writes are compared within slices of the order, so that a hot key is no single task's; the first of a
+    slice is compared with the last of the key's slice before it, of which there are PARTS at most.
+    """
     fields = [c for c in log.columns if c not in (key, seq)]
     held = log if of is None else log.filter(F.col(key) == F.lit(of))
-    before = F.lag(F.struct(*fields)).over(Window.partitionBy(key).orderBy(seq))
-    marked = held.withColumn("_before", before).withColumn("change", F.when(F.col("_before").isNull(), "Added").when(F.col("_before") == F.struct(*fields), "Repeated").otherwise("Changed")).drop("_before")
+    low, high = held.agg(F.min(seq), F.max(seq)).first()
+    width = 1 if low is None else (high - low) // PARTS + 1
+    # a struct equals another whose null is at the same place
+    rows = held.withColumn("_key", F.struct(F.col(key))).withColumn("_slice", F.floor((F.col(seq) - F.lit(low)) / width)).withColumn("_row", F.struct(*fields))
+    lasts = rows.groupBy("_key", "_slice").agg(F.max_by("_row", seq).alias("_row"))
+    earlier = lasts.select("_key", "_slice", F.lag("_row").over(Window.partitionBy("_key").orderBy("_slice")).alias("_earlier"))
+    within = rows.withColumn("_before", F.lag("_row").over(Window.partitionBy("_key", "_slice").orderBy(seq)))
+    before = F.coalesce("_before", "_earlier")
+    change = F.when(before.isNull(), "Added").when(before == F.col("_row"), "Repeated").otherwise("Changed")
+    marked = within.join(earlier, ["_key", "_slice"]).select(*log.columns, change.alias("change"))
     return marked if most is None else marked.orderBy(F.desc(seq)).limit(most)
 
 
@@ -112,6 +126,7 @@ def with_own_writes(log: DataFrame, own: DataFrame, key: str, seq: str) -> DataF
     missing = own.join(log.select(key, seq), [key, seq], "left_anti")
     return log.unionByName(missing.select(*log.columns))
 
+
 def by_writer(log: DataFrame, signer: str, owner: str, writers: Sequence[str] = (), which: str = "official") -> DataFrame:
     """Rows of official writers (the owner and those it named), of the others, or all, with `official`."""
     out = log.withColumn("official", F.col(signer).isin([owner, *writers]))

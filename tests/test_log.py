@@ -64,6 +64,20 @@ def test_pages_commits_and_own_writes(spark):
     assert sorted(r.seq for r in log.with_own_writes(held, own, "k", "seq").collect()) == [1, 2, 3, 4, 9]
 
 
+def test_commits_across_slices(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), n * n, rng.choice([1, 1, 2, None])) for n in range(1500)]
+    held, want = {}, []
+    for key, seq, value in rows:
+        want.append((seq, "Added" if key not in held else "Repeated" if held[key] == value else "Changed"))
+        held[key] = value
+    df = spark.createDataFrame(rows, "key string, seq long, value int")
+    got = log.commits(df, "key", "seq")
+    assert got.columns == ["key", "seq", "value", "change"]
+    assert sorted((r.seq, r.change) for r in got.collect()) == want
+    assert log.commits(df.limit(0), "key", "seq").count() == 0
+
+
 def test_overlay_states(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, v string")
     pending = spark.createDataFrame([(1, "a", False), (2, "B", False), (3, None, True), (4, "d", False), (5, None, True)], "id long, v string, gone boolean")

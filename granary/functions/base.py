@@ -92,22 +92,39 @@ def datetime(x: X) -> str:
 
 def time_text(micros: str) -> str:
     m = f"({micros})"
-    return f"concat(IF({m} < 0, '-', ''), format_string('%02d:%02d:%02d', abs({m}) DIV 3600000000, (abs({m}) DIV 60000000) % 60, (abs({m}) DIV 1000000) % 60))"
+    whole = f"format_string('%02d:%02d:%02d', abs({m}) DIV 3600000000, (abs({m}) DIV 60000000) % 60, (abs({m}) DIV 1000000) % 60)"
+    return f"concat(IF({m} < 0, '-', ''), {whole}, IF({m} % 1000000 = 0, '', format_string('.%06d', abs({m}) % 1000000)))"
+
+
+#: A time in a text: sign, hours, minutes, seconds and their fraction, after a date or alone.
+CLOCK = "^ *(-?)(?:[0-9-]+[ T])?([0-9]+):([0-5]?[0-9])(?::([0-5]?[0-9])(?:[.]([0-9]{1,6})[0-9]*)?)? *$"
+
+
+def time_of(moment: str) -> str:
+    return f"pmod(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {moment}), 86400000000L)"
 
 
 def micros(x: X) -> str:
-    """A time of day or a duration, as microseconds."""
+    """A time of day or a duration, as microseconds; NULL for a text that is neither a time nor a date."""
     if x.kind == "time":
         return x.sql
     if x.kind == "dt":
-        return f"((hour({x.sql}) * 3600 + minute({x.sql}) * 60 + second({x.sql})) * 1000000L)"
+        return time_of(x.sql)
     if x.kind == "date":
-        return "0"
+        return f"IF({x.sql} IS NULL, NULL, 0L)"
     if x.kind in ("int", "num"):
         n = f"CAST({x.sql} AS BIGINT)"
         return f"((({n} DIV 10000) * 3600 + (({n} DIV 100) % 100) * 60 + {n} % 100) * 1000000L)"
-    part = lambda k: f"coalesce(try_cast(regexp_extract({x.sql}, '^(-?)(?:[0-9-]+[ T])?([0-9]+):([0-9]+)(?::([0-9]+))?', {k}) AS BIGINT), 0)"
-    return f"IF({x.sql} IS NULL, NULL, IF({x.sql} LIKE '-%', -1, 1) * ({part(2)} * 3600 + {part(3)} * 60 + {part(4)}) * 1000000L)"
+    group = lambda k: f"regexp_extract({x.sql}, '{CLOCK}', {k})"
+    part = lambda k: f"coalesce(try_cast({group(k)} AS BIGINT), 0)"
+    sums = f"IF({group(1)} = '-', -1, 1) * (({part(2)} * 3600 + {part(3)} * 60 + {part(4)}) * 1000000L + CAST(rpad({group(5)}, 6, '0') AS BIGINT))"
+    return f"(CASE WHEN {x.sql} RLIKE '{CLOCK}' THEN {sums} ELSE {time_of(f'try_cast({x.sql} AS TIMESTAMP_NTZ)')} END)"
+
+
+def seconds(x: X) -> str:
+    """The same cut to whole seconds, still in microseconds."""
+    m = micros(x)
+    return f"({m} - {m} % 1000000)"
 
 
 def folded(x: X) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from granary.functions.base import X, comparable, condition, date, datetime, folded, merged, micros, moment, number, quote, refuse, small, text, time_text, united, whole
+from granary.functions.base import X, comparable, condition, date, datetime, folded, merged, micros, moment, number, quote, refuse, seconds, small, text, time_text, united, whole
 
 MANY = 99
 TABLE: dict[str, tuple[int, int, Callable[..., X]]] = {}
@@ -212,7 +212,7 @@ add("CURDATE CURRENT_DATE UTC_DATE", 0, 0, lambda: X("current_date()", "date"))
 add("CURTIME CURRENT_TIME UTC_TIME", 0, 1, lambda *_: X(micros(X(now, "dt")), "time"))
 add("DATE", 1, 1, lambda x: X(date(x), "date"))
 add("TIME", 1, 1, lambda x: X(micros(x), "time"))
-add("TIMESTAMP", 1, 2, lambda x, t=None: X(datetime(x) if t is None else f"timestampadd(MICROSECOND, {micros(t)}, {datetime(x)})", "dt"))
+add("TIMESTAMP", 1, 2, lambda x, t=None: X(datetime(x) if t is None else f"timestampadd(MICROSECOND, {seconds(t)}, {datetime(x)})", "dt"))
 for name, f in {"YEAR": "year", "MONTH": "month", "DAY": "day", "DAYOFMONTH": "day", "DAYOFWEEK": "dayofweek", "DAYOFYEAR": "dayofyear", "QUARTER": "quarter", "WEEKDAY": "weekday", "WEEKOFYEAR": "weekofyear"}.items():
     add(name, 1, 1, lambda x, f=f: X(f"{f}({date(x)})", "int"))
 add("LAST_DAY", 1, 1, lambda x: X(f"last_day({date(x)})", "date"))
@@ -287,7 +287,8 @@ def date_format(x: X, form: X) -> X:
     return X(f"concat({', '.join(parts)})" if parts else "''", "str")
 
 
-add("DATE_FORMAT TIME_FORMAT", 2, 2, date_format)
+add("DATE_FORMAT", 2, 2, date_format)
+add("TIME_FORMAT", 2, 2, lambda x, form: date_format(X(f"(abs({micros(x)}) % 86400000000L)", "time"), form))
 
 
 def str_to_date(s: X, form: X) -> X:
@@ -312,10 +313,15 @@ add("STR_TO_DATE", 2, 2, str_to_date)
 add("DATEDIFF", 2, 2, lambda a, b: X(f"datediff({date(a)}, {date(b)})", "int"))
 
 
+def is_time(x: X) -> bool:
+    return x.kind == "time" or (isinstance(x.value, str) and "-" not in x.value.lstrip("-"))
+
+
 def time_diff(a: X, b: X) -> X:
-    if a.kind == "time" or (isinstance(a.value, str) and "-" not in a.value.lstrip("-")):
-        return X(f"({micros(a)} - {micros(b)})", "time")
-    return X(f"timestampdiff(MICROSECOND, {datetime(b)}, {datetime(a)})", "time")
+    if is_time(a):
+        return X(f"({seconds(a)} - {seconds(b)})", "time")
+    start = lambda x: f"date_trunc('SECOND', {datetime(x)})"
+    return X(f"(timestampdiff(SECOND, CAST({start(b)} AS TIMESTAMP_NTZ), CAST({start(a)} AS TIMESTAMP_NTZ)) * 1000000L)", "time")
 
 
 add("TIMEDIFF", 2, 2, time_diff)
@@ -323,9 +329,9 @@ add("TIMEDIFF", 2, 2, time_diff)
 
 def add_time(sign: str):
     def build(a: X, b: X) -> X:
-        if a.kind == "dt" or (isinstance(a.value, str) and "-" in a.value.lstrip("-")):
-            return X(f"timestampadd(MICROSECOND, {sign}{micros(b)}, {datetime(a)})", "dt")
-        return X(f"({micros(a)} + {sign}{micros(b)})", "time")
+        if a.kind in ("date", "dt") or (isinstance(a.value, str) and not is_time(a)):
+            return X(f"timestampadd(MICROSECOND, {sign}{seconds(b)}, {datetime(a)})", "dt")
+        return X(f"({seconds(a)} + {sign}{seconds(b)})", "time")
 
     return build
 
@@ -358,7 +364,14 @@ def from_unixtime(t: X, form: X | None = None) -> X:
 
 add("FROM_UNIXTIME", 1, 2, from_unixtime)
 add("MAKEDATE", 2, 2, lambda y, n: X(f"IF({small(n)} < 1, NULL, date_add(make_date({small(y)}, 1, 1), {small(n)} - 1))", "date"))
-add("MAKETIME", 3, 3, lambda h, m, s: X(f"(({whole(h)} * 3600 + {whole(m)} * 60 + {whole(s)}) * 1000000L)", "time"))
+
+
+def make_time(h: X, m: X, s: X) -> X:
+    a, b, c = whole(h), whole(m), whole(s)
+    return X(f"IF({b} BETWEEN 0 AND 59 AND {c} BETWEEN 0 AND 59, IF({a} < 0, -1, 1) * (abs({a}) * 3600 + {b} * 60 + {c}) * 1000000L, NULL)", "time")
+
+
+add("MAKETIME", 3, 3, make_time)
 add("SEC_TO_TIME", 1, 1, lambda n: X(f"({whole(n)} * 1000000L)", "time"))
 add("TIME_TO_SEC", 1, 1, lambda x: X(f"({micros(x)} DIV 1000000)", "int"))
 add("CONVERT_TZ", 3, 3, lambda x, *_: X(datetime(x), "dt"))

@@ -7,6 +7,7 @@ SQL for the same rows; where the dialect's text is good SQL as it is, the oracle
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from granary.functions import compare
 from granary.operators import changes, log, relational
 from granary.plans.engine import Engine
-from granary.plans.staging import numbered
-from granary.sources import files, packs
+from granary.plans.staging import numbered, shared_folder
+from granary.sources import files, log_source, packs
+from granary.streaming import refresh
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
@@ -206,6 +208,12 @@ q("fn_rest", """SELECT c_custkey, OCTET_LENGTH(c_name) AS a, BIT_LENGTH(c_name)
   ROUND(LOG10(c_custkey + 1), 9) AS k, ROUND(COS(c_acctbal), 9) AS l, ROUND(TAN(c_nationkey), 9) AS m, ROUND(ACOS(0.25), 9) AS n, ROUND(COT(c_nationkey + 1), 9) AS o, ROUND(RADIANS(c_nationkey), 9) AS p FROM customer""",
   """SELECT c_custkey, CAST(strlen(c_name) AS INT) AS a, CAST(strlen(c_name) * 8 AS INT) AS b, 'x ' AS c, ' x' AS d, substr(c_name, 2, 3) AS e, CAST(instr(lower(c_name), 'e') AS INT) AS g, CAST(ascii(c_name) AS INT) AS h, 'AB' AS i, coalesce(nullif(c_nationkey, 3), -1) AS j,
   round(log10(c_custkey + 1), 9) AS k, round(cos(c_acctbal), 9) AS l, round(tan(c_nationkey), 9) AS m, round(acos(0.25), 9) AS n, round(cot(c_nationkey + 1), 9) AS o, round(radians(c_nationkey), 9) AS p FROM customer""")
+q("fn_clock", """SELECT event_id, SECOND(ts) AS a, MICROSECOND(ts) AS b, YEARWEEK(ts) AS c, TIME_FORMAT(ts, '%H.%i.%s') AS d, ADDTIME(ts, '01:00:00') AS e, SUBTIME(ts, '00:00:05') AS g, CAST(ADDTIME('10:00:00', '00:30:00') AS CHAR) AS h, FROM_UNIXTIME(event_id) AS i, CONVERT_TZ(ts, 'UTC', 'CET') AS j,
+  CAST(TIME(ts) AS CHAR) AS k, MICROSECOND('10:00:00.25') AS l, CAST(MAKETIME(-1, 30, 0) AS CHAR) AS m, MAKETIME(1, 60, 0) AS n, ADDTIME(DATE(ts), '01:00:00') AS o, TIME_FORMAT('05:06:07', '%H.%i.%s') AS p, TIMEDIFF(ts, '2024-01-01 00:00:00') AS r, TIME('nothing') AS s, TIMESTAMP(ts, '00:00:01') AS t FROM events""",
+  """SELECT event_id, CAST(second(ts) AS INT) AS a, CAST(microsecond(ts) % 1000000 AS INT) AS b, CAST(year(ts) * 100 + CAST(strftime(ts, '%U') AS INT) AS INT) AS c, strftime(ts, '%H.%M.%S') AS d, ts + INTERVAL 1 HOUR AS e, ts - INTERVAL 5 SECOND AS g, '10:30:00' AS h, make_timestamp(event_id * 1000000) AS i, ts AS j,
+  strftime(ts, '%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END AS k, 250000 AS l, '-01:30:00' AS m, CAST(NULL AS BIGINT) AS n, date_trunc('day', ts) + INTERVAL 1 HOUR AS o, '05.06.07' AS p, (epoch_us(date_trunc('second', ts)) - epoch_us(TIMESTAMP '2024-01-01')) AS r, CAST(NULL AS BIGINT) AS s, ts + INTERVAL 1 SECOND AS t FROM events""")
+q("fn_now", "SELECT c_custkey, CHAR_LENGTH(UUID()) AS a, RAND() >= 0 AND RAND() < 1 AS b, NOW() > '2020-01-01' AS c, TIMESTAMPDIFF(DAY, CURDATE(), NOW()) < 2 AS d, CURTIME() IS NULL AS e FROM customer", "SELECT c_custkey, 36 AS a, 1 AS b, 1 AS c, 1 AS d, 0 AS e FROM customer")
+q("collate_binary", "SELECT c_custkey FROM customer WHERE c_mktsegment COLLATE utf8_general_ci = 'building' OR BINARY c_mktsegment = 'machinery'", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 q("sum_past_bigint", "SELECT SUM(CAST(o_orderkey AS DECIMAL(38, 0)) + 9223372036854775807) AS s, 9223372036854775807 + 1 AS t FROM orders", "SELECT CAST(sum(CAST(o_orderkey AS DECIMAL(38, 0)) + 9223372036854775807) AS DECIMAL(38, 0)) AS s, CAST(9223372036854775808 AS DECIMAL(20, 0)) AS t FROM orders")
 
 # tables and rules
@@ -242,6 +250,19 @@ q("alter_primary", SHOP + "CREATE TABLE tag (t VARCHAR(5), label VARCHAR(9)); IN
 q("auto_increment", SHOP + "CREATE TABLE a (id INT AUTO_INCREMENT PRIMARY KEY, v VARCHAR(9)); ALTER TABLE a AUTO_INCREMENT = 100; INSERT INTO a (v) VALUES ('x'), ('y'); INSERT INTO a (id, v) VALUES (500, 'z'), (NULL, 'w'); SELECT id, v FROM a", "SELECT * FROM (VALUES (100, 'x'), (101, 'y'), (500, 'z'), (501, 'w')) t(id, v)")
 q("show_columns", SHOP + "SHOW COLUMNS FROM seg", "SELECT * FROM (VALUES ('name', 'VARCHAR(20)', 'NO', 'PRI', NULL, ''), ('rank', 'INT', 'NO', '', '9', '')) t(\"Field\", \"Type\", \"Null\", \"Key\", \"Default\", \"Extra\")")
 q("show_tables", SHOP + "CREATE VIEW v AS SELECT 1 AS x; SHOW FULL TABLES LIKE 'c%'", "SELECT * FROM (VALUES ('cust', 'BASE TABLE'), ('customer', 'BASE TABLE')) t(\"Tables_in_main\", \"Table_type\")")
+SEG = SHOP[: SHOP.index("CREATE TABLE cust")]
+q("create_index", SEG + "CREATE INDEX by_rank ON seg (rank); SHOW INDEX FROM seg", "SELECT * FROM (VALUES ('seg', '0', 'PRIMARY', '1', 'name'), ('seg', '1', 'by_rank', '1', 'rank')) t(\"Table\", \"Non_unique\", \"Key_name\", \"Seq_in_index\", \"Column_name\")")
+q("drop_index", SEG + "CREATE INDEX by_rank ON seg (rank); DROP INDEX by_rank ON seg; SHOW INDEX FROM seg", "SELECT 'seg' AS \"Table\", '0' AS \"Non_unique\", 'PRIMARY' AS \"Key_name\", '1' AS \"Seq_in_index\", 'name' AS \"Column_name\"")
+q("describe", SEG + "DESCRIBE seg", "SELECT * FROM (VALUES ('name', 'VARCHAR(20)', 'NO', 'PRI', NULL, ''), ('rank', 'INT', 'NO', '', '9', '')) t(\"Field\", \"Type\", \"Null\", \"Key\", \"Default\", \"Extra\")")
+q("show_status", SEG + "SHOW TABLE STATUS", "SELECT 'seg' AS \"Name\", '3' AS \"Rows\", '1' AS \"Auto_increment\", '' AS \"Comment\"")
+q("show_grants", SEG + "GRANT INSERT ON seg TO PUBLIC; SHOW GRANTS FOR seg", "SELECT 'seg' AS \"Table\", 'PUBLIC' AS \"Writer\"")
+q("revoke", SEG + "GRANT INSERT ON seg TO PUBLIC; REVOKE INSERT ON seg FROM PUBLIC; SHOW GRANTS FOR seg", "SELECT 'seg' AS \"Table\", 'owner' AS \"Writer\"")
+q("show_variables", "SET @@depth = 5; SHOW VARIABLES LIKE 'dep%'", "SELECT 'DEPTH' AS \"Variable_name\", '5' AS \"Value\"")
+q("use_database", "CREATE DATABASE stock; USE stock; LOCK TABLES x WRITE; SELECT DATABASE() AS d", "SELECT 'stock' AS d")
+q("drop_table", SHOP + "DROP TABLE seg; DROP TABLE IF EXISTS nowhere; SHOW TABLES LIKE 'seg%'", "SELECT 'x' AS \"Tables_in_main\" WHERE false")
+q("add_unique", SEG + "ALTER TABLE seg ADD UNIQUE (rank); INSERT IGNORE INTO seg (name, rank) VALUES ('TWICE', 1), ('ONCE', 8); SELECT name, rank FROM seg", "SELECT * FROM (VALUES ('BUILDING', 1), ('FURNITURE', 3), ('MACHINERY', 2), ('ONCE', 8)) t(name, rank)")
+q("check_follows_rename", SEG + "ALTER TABLE seg ADD CONSTRAINT low CHECK (rank < 50); ALTER TABLE seg CHANGE rank place INT NOT NULL DEFAULT 9; INSERT IGNORE INTO seg (name, place) VALUES ('HIGH', 60), ('LOW', 40), ('NONE', NULL); SELECT name, place FROM seg WHERE name <> 'none'", "SELECT * FROM (VALUES ('BUILDING', 1), ('FURNITURE', 3), ('MACHINERY', 2), ('LOW', 40)) t(name, place)")
+q("touch_on_update", "CREATE TABLE note (id INT PRIMARY KEY, v INT, at DATETIME DEFAULT '2020-01-01 00:00:00' ON UPDATE CURRENT_TIMESTAMP); INSERT INTO note (id, v) VALUES (1, 1), (2, 2); UPDATE note SET v = 5 WHERE id = 2; SELECT id, v, at > '2021-01-01' AS touched FROM note", "SELECT * FROM (VALUES (1, 1, 0), (2, 5, 1)) t(id, v, touched)")
 q("create_like", SHOP + "CREATE TABLE seg2 LIKE seg; INSERT INTO seg2 (name) VALUES ('only'); SELECT * FROM seg2", "SELECT 'only' AS name, 9 AS rank")
 q("truncate", SHOP + "TRUNCATE TABLE cust; SELECT COUNT(*) AS n FROM cust", "SELECT 0 AS n")
 q("rename_table", SHOP + "RENAME TABLE cust TO clients; SELECT COUNT(*) AS n FROM clients", "SELECT COUNT(*) AS n FROM customer")
@@ -285,9 +306,19 @@ def _(spark, d):
     return relational.search_rows(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "77", order="c_custkey")
 
 
-@f("db_search", "SELECT 'nation' AS \"table\", count(*) AS n FROM nation WHERE lower(concat_ws(' ', n_nationkey, n_name, n_regionkey)) LIKE '%1%' UNION ALL SELECT 'region', count(*) FROM region WHERE lower(concat_ws(' ', r_regionkey, r_name)) LIKE '%1%'")
+SEARCHED = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_mktsegment c_nationkey", "supplier": "s_suppkey s_name s_nationkey", "part": "p_partkey p_name p_brand p_type p_size",
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_returnflag l_linestatus", "events": "event_id user_id event_type props", "documents": "doc_id text lang source",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+@f(
+    "db_search_whole",
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS \"table\", count(*) AS n FROM {name} WHERE contains(lower(concat_ws(' ', {', '.join(columns.split())})), '17')" for name, columns in SEARCHED.items()) + ") WHERE n > 0",
+)
 def _(spark, d):
-    return relational.search_tables({"nation": table(spark, d, "nation"), "region": table(spark, d, "region")}, "1")
+    return relational.search_tables({name: table(spark, d, name).select(*columns.split()) for name, columns in SEARCHED.items()}, "17")
 
 
 @f("find_replace", "SELECT p_partkey, regexp_replace(p_name, 'e', '3', 'gi') AS p_name FROM part WHERE p_name ILIKE '%e%'")
@@ -469,6 +500,69 @@ def _(spark, d):
     return e.sql("SELECT n_nationkey, n_name FROM n")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@f("csv_round_trip", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, d):
+    path = new_folder(spark, "csv")
+    files.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), path)
+    return files.typed(files.read_csv(spark, path, delimiter=","))
+
+
+@f("tsv_source", "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderpriority AS p FROM orders")
+def _(spark, d):
+    path = new_folder(spark, "tsv")
+    table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p")).write.csv(path, header=True, sep="\t")
+    return files.read_csv(spark, path)
+
+
+@f("json_round_trip", "SELECT doc_id, text, lang FROM documents")
+def _(spark, d):
+    path = new_folder(spark, "json")
+    files.write_json(table(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return spark.read.schema("doc_id long, text string, lang string").json(path)
+
+
+@f("cols_rows_source", "SELECT * FROM (VALUES (1, 'a', 0.5), (2, '7', 2.0), (3, NULL, NULL)) t(k, v, x)")
+def _(spark, d):
+    return files.from_table(spark, ["k", "v", "x"], [[1, "a", 0.5], [2, 7, 2], [3]])
+
+
+@f("dump_round_trip", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    e, copy = Engine(spark), Engine(spark)
+    for name in ("region", "nation"):
+        e.write(name, e.spark.read.parquet(f"{d}/{name}.parquet"))
+    copy.run("\n".join(e.dump()), import_mode=True)
+    return copy.sql("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+
+@f("log_source", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS p, CAST(user_id AS VARCHAR) AS signer, event_id AS time FROM events")
+def _(spark, d):
+    folder = new_folder(spark, "log")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("p"), F.col("user_id").cast("string").alias("signer"), F.col("event_id").alias("time"))
+    rows.select(F.to_json(F.struct("*"))).write.text(folder)
+    log_source.register(spark)
+    return spark.read.format("granary_log").option("path", folder).option("suffix", ".txt").load()
+
+
+@f("log_follow", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def _(spark, d):
+    source, target, marks = (new_folder(spark, x) for x in ("arrivals", "followed", "marks"))
+    held = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    for part in (held.filter("event_type = 'error'"), held.filter("event_type <> 'error'")):
+        part.write.mode("append").json(source)
+        refresh.follow(spark, source, target, "user_id long, event_id long, event_type string", "user_id", "event_id", marks).awaitTermination()
+    return refresh.current(spark, target).select("user_id", "event_id")
+
+
+@f("windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, d):
+    return refresh.windowed_counts(table(spark, d, "events"), "ts", "1 hour", "10 minutes", "event_type")
+
+
 def run_dialect(script: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir, script).sql(script)
 

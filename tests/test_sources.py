@@ -1,8 +1,7 @@
 import json
 
 from granary import cli
-from granary.sources import files, packs
-from granary.sources.log_source import LogSource
+from granary.sources import files, log_source, packs
 from granary.streaming.refresh import current, follow, windowed_counts
 
 
@@ -63,10 +62,21 @@ def test_foreign_packs(spark):
 def test_log_source(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.jsonl").write_text(json.dumps({"id": str(k), "p": "x", "signer": "s", "time": k}) + "\nnot json\n")
-    spark.dataSource.register(LogSource)
+    log_source.register(spark)
     held = spark.read.format("granary_log").option("path", str(tmp_path))
     assert sorted(r.id for r in held.load().collect()) == ["0", "1", "2"]
     assert sorted(r.id for r in held.option("maxPages", "2").load().collect()) == ["1", "2"]
+    uri = spark.read.format("granary_log").option("path", tmp_path.as_uri()).option("after", "1.jsonl")
+    assert [tuple(r) for r in uri.load().collect()] == [("2", "x", "s", 2)]
+
+
+def test_odd_lines_of_a_log(spark, tmp_path):
+    lines = ['{"id": 7, "p": null, "time": 99999999999999999999}', "[1]", "", '{"p": {"a": 1}, "time": true, "more": 0}']
+    (tmp_path / "0.jsonl").write_text("\n".join(lines))
+    (tmp_path / "1.jsonl").write_text("")
+    log_source.register(spark)
+    got = spark.read.format("granary_log").option("path", str(tmp_path)).load().collect()
+    assert [tuple(r) for r in got] == [("7", None, None, None), (None, '{"a": 1}', None, None)]
 
 
 def test_follow_a_log(spark, tmp_path):

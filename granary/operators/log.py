@@ -26,6 +26,9 @@ def merge(log: DataFrame, key: str, seq: str, deleted: str) -> DataFrame:
 
     versions counts the writes since the key's last tombstone; first_seq, the key's first write of all, gives the order
     in which a reader lists rows, a key that comes back after a tombstone at its old place. Null keys are one key.
+
+    The writes are joined with their keys by a struct, in which nulls are equal and which nothing is dealt by yet: both
+    sides shuffle right under the join, so that adaptive execution can split a hot key, and the counts are pre-aggregated.
     """
     writes = log.withColumn("_dead", F.coalesce(F.col(deleted), F.lit(False)))
     summary = writes.groupBy(key).agg(
@@ -34,12 +37,11 @@ def merge(log: DataFrame, key: str, seq: str, deleted: str) -> DataFrame:
         F.min(F.when(~F.col("_dead"), F.col(seq))).alias("first_seq"),
     )
     live = summary.filter(~F.coalesce(F.col(f"_row.{deleted}"), F.lit(False)))
-    k, j = F.col(f"w.{key}"), F.col(f"s.{key}")
     counted = (
-        writes.filter(~F.col("_dead")).select(key, seq).alias("w")
-        .join(live.select(key, "_last_dead").alias("s"), k.eqNullSafe(j))
-        .filter(F.col("_last_dead").isNull() | (F.col(f"w.{seq}") > F.col("_last_dead")))
-        .groupBy(k.alias(key)).agg(F.count(F.lit(1)).alias("versions"))
+        writes.filter(~F.col("_dead")).select(key, F.col(seq).alias("_seq"), F.struct(key).alias("_key"))
+        .join(live.select(F.struct(key).alias("_key"), "_last_dead"), "_key")
+        .filter("_last_dead IS NULL OR _seq > _last_dead")
+        .groupBy(key).agg(F.count(F.lit(1)).alias("versions"))
     )
     out = live.alias("l").join(counted.alias("c"), F.col(f"l.{key}").eqNullSafe(F.col(f"c.{key}")))
     fields = [F.col(f"l._row.{c}").alias(c) for c in log.columns if c not in (key, deleted)]

@@ -28,6 +28,25 @@ def test_merge_of_nothing(spark):
     assert log.merge(df, "key", "seq", "gone").count() == 0
 
 
+def test_merge_counts_null_keys_and_splits_hot_ones(spark):
+    rows = [(None if k % 3 else "b", k, k, k == 4) for k in range(9)]
+    df = spark.createDataFrame(rows, "key string, seq long, value long, gone boolean")
+    got = log.merge(df, "key", "seq", "gone")
+    assert {tuple(r) for r in got.select("key", "value", "versions", "first_seq").collect()} == {(None, 8, 3, 1), ("b", 6, 3, 0)}
+    frame = spark.range(40_000).selectExpr("IF(id % 10 < 9, 'hot', string(id)) AS key", "id AS seq", "id AS value", "id = 5000 AS gone")
+    held = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = log.merge(frame.repartition(8), "key", "seq", "gone")
+        assert {r.key: r.versions for r in out.collect()}["hot"] == sum(k % 10 < 9 for k in range(5001, 40_000))
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_clear_and_epochs(spark):
     df = spark.createDataFrame([(1, "a", "x", False), (2, "b", "x", False), (3, "a", "y", False), (4, "c", "y", False)], "seq long, k string, j string, gone boolean")
     assert sorted(r.seq for r in log.after_clear(df, "seq", clear=F.col("seq") == 2).collect()) == [3, 4]

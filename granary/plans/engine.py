@@ -17,7 +17,7 @@ from granary.plans.model import Column, Foreign, Table
 from granary.plans.schema import SchemaStatements
 from granary.plans.show import ShowStatements
 from granary.plans.statements import parse_script
-from granary.plans.staging import numbered, staged
+from granary.plans.staging import Parts, numbered, staged
 from granary.plans.types import Type, of_spark
 
 ROUNDS, ROUND_ROWS = 1000, 200_000
@@ -92,21 +92,23 @@ class Engine(SchemaStatements, ShowStatements):
         return known.get(name)
 
     def recursive_distinct(self, name: str, columns: list[str], anchor: str, step: Callable[[str], str]) -> str:
-        """WITH RECURSIVE … UNION: rounds over the rows that are new, until there are none."""
-        seen = staged(self.spark.sql(anchor).distinct(), "recursion")
-        fresh, total = seen, seen.count()
+        """WITH RECURSIVE … UNION: rounds over the rows that are new, until there are none.
+
+        A round's rows are a part of one staged table, so that plans don't grow with the rounds.
+        """
+        held = Parts(self.spark, "recursion")
+        fresh = held.add(self.spark.sql(anchor).distinct())
+        fields, total = fresh.schema.fields, fresh.count()
         for _ in range(ROUNDS):
-            view = self.temp_view(fresh, name)
-            found = self.spark.sql(step(view)).distinct()
-            typed = found.select(*[found[i].cast(f.dataType).alias(f.name) for i, f in enumerate(seen.schema.fields)])
-            fresh = staged(typed.join(seen, [typed[c].eqNullSafe(seen[c]) for c in columns], "left_anti"), "recursion")
+            found = self.spark.sql(step(self.temp_view(fresh, name))).distinct()
+            typed, seen = found.select(*[found[i].cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]), held.all()
+            fresh = held.add(typed.join(seen, [typed[c].eqNullSafe(seen[c]) for c in columns], "left_anti"))
             more = fresh.count()
             if not more:
-                return self.temp_view(seen, name)
+                return self.temp_view(held.all(), name)
             total += more
             if total > ROUND_ROWS:
                 raise DialectError(f"A recursive query has over {ROUND_ROWS} rows")
-            seen = seen.unionByName(fresh)
         raise DialectError(f"A recursive query takes over {ROUNDS} rounds")
 
     # running

@@ -28,6 +28,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path).toDF(*labels)
 
 
+class Parts:
+    """A staged table that grows: each part is written once, and the whole is one scan however many there are."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.n = spark, 0
+        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write the rows and read back these alone; columns are those of the first part."""
+        if not self.n:
+            self.labels = df.columns
+        plain = df.toDF(*[f"c{k}" for k in range(len(self.labels))])
+        path = f"{self.path}/p{self.n:05d}"
+        plain.write.parquet(path)
+        if not self.n:
+            self.schema = self.spark.read.parquet(path).schema
+        self.n += 1
+        return self.read(path)
+
+    def all(self) -> DataFrame:
+        return self.read(f"{self.path}/*")
+
+    def read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(path).toDF(*self.labels)
+
+
 #: Low bits of monotonically_increasing_id(): a row's place in its partition.
 PLACE = (1 << 33) - 1
 

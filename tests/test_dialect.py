@@ -73,6 +73,13 @@ def test_queries(e, sql, want):
         ("STR_TO_DATE('July 4, 1997', '%M %e, %Y')", datetime.date(1997, 7, 4)),
         ("TIMESTAMPDIFF(DAY, '2024-02-27', '2024-03-01')", 3),
         ("YEARWEEK('2024-01-07')", 202401),
+        ("CAST(MAKETIME(-2, 5, 9) AS CHAR)", "-02:05:09"),
+        ("MAKETIME(2, 5, 60)", None),
+        ("MICROSECOND('2024-05-06 07:08:09.0421')", 42100),
+        ("CAST(TIME('07:08:09.5') AS CHAR)", "07:08:09.500000"),
+        ("CAST(TIMEDIFF('2024-01-02 00:00:00.9', '2024-01-01 23:59:59.1') AS CHAR)", "00:00:01"),
+        ("TIME('low tide')", None),
+        ("TIME_FORMAT('19:20:21', '%h:%i %p')", "07:20 PM"),
         ("CAST('-8.5' AS SIGNED)", -9),
         ("CAST(-3 AS UNSIGNED)", 18446744073709551613),
         ("""JSON_EXTRACT('[{"k": [1, {"z": 5}]}]', '$[0].k[1].z')""", "5"),

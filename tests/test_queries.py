@@ -9,7 +9,7 @@ import pytest
 from granary import queries as library
 
 SF = "/root/testdata/sf0.001"
-SOME = "flagship logic_xor like_ci casts all_sub_null cte_rec_union join_natural_right join_theta group_firstrow rollup2 group_concat_distinct w_last_nth w_over_grouped distinct_order_other minus_folded fn_text_3 fn_date_parts fn_json dml_on_duplicate fk_set_null log_merge_latest log_budget sheet_overlay pack_round_trip".split()
+SOME = "flagship logic_xor like_ci casts all_sub_null cte_rec_union join_natural_right join_theta group_firstrow rollup2 group_concat_distinct w_last_nth w_over_grouped distinct_order_other minus_folded fn_text_3 fn_date_parts fn_json dml_on_duplicate fk_set_null log_merge_latest log_budget sheet_overlay pack_round_trip fn_clock fn_rest log_source log_follow db_search_whole csv_round_trip tsv_source json_round_trip dump_round_trip windowed_counts create_index add_unique check_follows_rename".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")

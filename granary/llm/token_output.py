@@ -6,7 +6,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import AbstractContextManager, ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import small_batches, table, work_dir
+from granary.llm.common import Kept, give_back, small_batches, table, work_dir
 from granary.llm.seekable import Reader, Writer, open_fs
 
 #: Remembered words of a worker, in two generations: a full young one becomes the old one, whose words come back when used.
@@ -150,7 +150,9 @@ class Encoder:
         bounds = split.offsets.to_numpy()
         bounds = (bounds - bounds[0]).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        place, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        place, words = coded.indices.to_numpy().astype(np.int32), coded.dictionary.to_pylist()
+        del split, coded
+        give_back()  # the words' table is several times the text
         held = list(map(self.memo.get, words))
         new = [k for k, x in enumerate(held) if x is None]  # what is remembered is safe
         bad = [k for k in new if not words[k] or words[k][0].isspace() or words[k][-1].isspace()]
@@ -169,7 +171,6 @@ class Encoder:
         held += [*first, self.end]
         size = np.fromiter(map(len, held), np.int64, len(held)) // 4
         begin = np.cumsum(size) - size
-        place = place.astype(np.int64)
         place[bounds[:-1]] = len(words) + np.arange(len(texts))
         place = np.insert(place, bounds[1:], len(held) - 1)
         bounds = bounds + np.arange(len(bounds))
@@ -188,10 +189,12 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, end_id: int) -> Encoder:
-    """A worker's encoder, kept with what it remembers from task to task."""
-    return Encoder(path, end_id)
+_encoders = Kept(Encoder)
+
+
+def encoder(path: str, end_id: int) -> AbstractContextManager[Encoder]:
+    """A worker's encoder, kept with what it remembers while tasks follow each other."""
+    return _encoders.use(path, end_id)
 
 
 def shard_uri(folder: str, shard: int) -> str:
@@ -214,15 +217,17 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode, writer, ids, total = TaskContext.get().partitionId(), None, None, [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                encode, writer = encoder(tokenizer_path, end_id), Writer(shard_uri(folder, shard), level)
-            ids.append(batch.column(0).to_numpy())
-            for content in encode(batch.column(1)):
-                total += len(content) // 4
-                writer.frame(content)
+        with ExitStack() as uses:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if writer is None:
+                    encode, writer = uses.enter_context(encoder(tokenizer_path, end_id)), Writer(shard_uri(folder, shard), level)
+                ids.append(batch.column(0).to_numpy().copy())  # a view would hold the texts, which share its buffer
+                for content in encode(batch.column(1)):
+                    total += len(content) // 4
+                    writer.frame(content)
+                give_back()
         if writer is not None:
             held = np.concatenate(ids)
             writer.close(held.astype("<i8").tobytes())

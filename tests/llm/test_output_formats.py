@@ -1,8 +1,10 @@
 """Operators 1 and 6 (files of frames), 2 (chat) and 3 (counts)."""
 
 import base64
+import gc
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +75,27 @@ def test_memories_are_bounded_by_bytes():
         assert all(len(w) <= 64 for w in held)
 
 
+def test_idle_workers_let_go_of_the_encoder(spark):
+    def encoders(batches):
+        time.sleep(0.5)  # so that no worker takes two tasks
+        yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, token_output.Encoder) for x in gc.get_objects())], pa.int64())], ["n"])
+
+    write(spark, [(k, f"some words {k}", None, None) for k in range(400)])
+    time.sleep(4)
+    assert [r.n for r in spark.range(8, numPartitions=4).mapInArrow(encoders, "n long").collect()] == [0] * 4
+
+
+def test_an_encoder_is_kept_between_uses():
+    with token_output.encoder(PATH, 0) as first:
+        with token_output.encoder(PATH, 0) as second:
+            assert second is first
+    with token_output.encoder(PATH, 0) as third:
+        assert third is first
+        time.sleep(3)
+        with token_output.encoder(PATH, 0) as fourth:
+            assert fourth is first, "let go while in use"
+
+
 def test_no_documents(spark):
     folder, manifest = write(spark, [])
     assert manifest == [] and token_output.read_ids(spark, folder, manifest).count() == 0
